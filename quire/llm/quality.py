@@ -41,6 +41,8 @@ _CELL = re.compile(r"\t|(?:^|\s)\|(?=\s|$)|\S {3,}(?=\S)")
 _CSV = re.compile(r"[^\s,],(?=[^\s,])|,,")
 _END = re.compile(r"[.!?…。！？][\"'”“’»)\]]*$")
 _SPLIT = re.compile(r"(?<=[.!?…])[\"'”“’»)]{0,2}\s+(?=[^\sa-z])")
+_DIGITED = re.compile(r"[^\s\d]*\d\S*")
+_CYRILLIC = re.compile("[а-ї]")
 _WORD = re.compile(r"[^\W\d_]+")
 _ODD = re.compile(r"[^\W\d_]*[bcdfghjklmnpqrstvwxz]{5}|.{26,}|\S*[{}<>\\^~#]|\(cid|(?:[0-9a-f]{2}|[0-9a-f]{8})$|[^\w\s]{3,}$|[^\w\s]*[^\W\d_][^\w\s]+[^\W\d_]?$")
 
@@ -75,9 +77,9 @@ def _sentenced(lines: list[str], taken: list[bool]) -> int:
                 good += n if n and _END.search(part) and good else 0
                 continue
             words = _WORD.findall(part.lower())
-            if sum(map(len, words)) < 2.3 * n or len(set(part)) < 10 or 2 * sum(len(t) > 2 for t in tokens) < n:
+            if sum(map(len, words)) < 2.3 * n or len(set(part)) < 10 or 2 * sum(map((2).__lt__, map(len, tokens))) < n:
                 continue
-            common = sum(w in _ALL for w in words)
+            common = sum(map(_ALL.__contains__, words))
             several = len(set(words)) * 3 > len(words)
             if several and (_END.search(part) if n >= 4 else common and _END.search(part)):
                 good += n
@@ -97,7 +99,7 @@ def block_statistics(text: str) -> tuple:
     low = text.lower()
     words = _WORD.findall(low)
     letters = sum(map(len, words))
-    cyr = sum("а" <= c <= "ї" for c in low) if not low.isascii() else 0
+    cyr = 0 if low.isascii() else len(_CYRILLIC.findall(low))
     lang = language_of(words, cyr * 2 > letters)
     marked = [bool(_MARK.match(x)) for x in lines]
     if k >= 3:
@@ -120,9 +122,9 @@ def block_statistics(text: str) -> tuple:
     taken = [a or b or c for a, b, c in zip(marked, is_label if k > 1 else [labelled >= 2], celled)]
     good = _sentenced(lines, taken)
     short = sum(len(x.split()) <= 3 and not _END.search(x.rstrip()) for x in lines) if k >= 3 else 0
-    odd = sum(bool(_ODD.match(t)) for t in tokens)
-    common = sum(w in _SETS[lang] for w in words)
-    digits = sum(any(c.isdigit() for c in t) for t in tokens)
+    odd = sum(map(bool, map(_ODD.match, tokens)))
+    common = sum(map(_SETS[lang].__contains__, words))
+    digits = len(_DIGITED.findall(text))
     spaces = sum(map(len, tokens))
     share = lambda a, b: 0 if not b else min(1000, round(1000 * a / b))
     return (
@@ -149,29 +151,36 @@ def statistics(blocks: DataFrame, keep: tuple[str, ...] = ("block_id", "block_ki
     return b.mapInPandas(run, schema)
 
 
+#: Languages with fewer texts are ranked among the texts of all languages.
+LEAST_TEXTS = 200
+
+
 def tails(stats: DataFrame) -> DataFrame:
-    """lang, tail: for each language, per statistic, the log tail of each of the 1001 values as one array.
+    """lang, n_texts, tails: for each language, per statistic, the log tail of each of its values.
 
-    The size is bounded by languages x statistics x 1001, whatever the input.
+    ``*`` stands for all languages together. The size is bounded by languages x
+    statistics x 1001 values, whatever the input.
     """
-    one = stats.groupBy("lang", *[]).agg(F.count(F.lit(1)).alias("n")).select("lang")
     long = stats.select("lang", F.explode(F.array(*[F.struct(F.lit(i).alias("stat"), F.col(s).alias("value")) for i, s in enumerate(STATS)])).alias("x")).select("lang", "x.stat", "x.value")
-    counts = long.groupBy("lang", "stat", "value").agg(F.count(F.lit(1)).alias("n"))
-    ranks = exact_ranks(counts, ["lang", "stat"], "value", "n")
-    tail = ranks.select("lang", "stat", "value", (-F.log((F.col("n_group") - F.col("n_below")) / F.col("n_group"))).alias("nlog"))
-    per = tail.groupBy("lang", "stat").agg(F.map_from_entries(F.collect_list(F.struct("value", "nlog"))).alias("m"))
-    return per.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("stat", "m"))).alias("tails")).join(one, "lang")
+    counts = cut_lineage(long.groupBy("lang", "stat", "value").agg(F.count(F.lit(1)).alias("n")))
+    pooled = counts.groupBy("stat", "value").agg(F.sum("n").alias("n")).withColumn("lang", F.lit("*"))
+    ranks = exact_ranks(counts.unionByName(pooled), ["lang", "stat"], "value", "n")
+    tail = ranks.select("lang", "stat", "value", "n_group", (-F.log((F.col("n_group") - F.col("n_below")) / F.col("n_group"))).alias("nlog"))
+    per = tail.groupBy("lang", "stat").agg(F.map_from_entries(F.collect_list(F.struct("value", "nlog"))).alias("m"), F.max("n_group").alias("n"))
+    return per.groupBy("lang").agg(F.max("n").alias("n_texts"), F.map_from_entries(F.collect_list(F.struct("stat", "m"))).alias("tails"))
 
 
 def scored(stats: DataFrame) -> DataFrame:
     """The statistics with ``outlier_score``."""
-    t = F.broadcast(tails(stats))
-    j = stats.join(t, "lang")
+    t = tails(stats)
+    small = [r["lang"] for r in t.where(F.col("n_texts") < LEAST_TEXTS).select("lang").collect()]  # of the listed languages
+    t = F.broadcast(t.select(F.col("lang").alias("_group"), "tails"))
+    j = stats.withColumn("_group", F.when(F.col("lang").isin(small), F.lit("*")).otherwise(F.col("lang"))).join(t, "_group")
     terms = [F.element_at(F.element_at("tails", F.lit(i)), F.col(s)) for i, s in enumerate(STATS)]
     score = terms[0]
     for x in terms[1:]:
         score = score + x
-    return j.withColumn("outlier_score", F.round(score, 6)).drop("tails")
+    return j.withColumn("outlier_score", F.round(score, 6)).drop("tails", "_group")
 
 
 def not_prose(blocks: DataFrame, least_score: float = 5.0, most_sentenced: int = 500, least_chars: int = 80) -> DataFrame:
