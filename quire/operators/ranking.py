@@ -53,3 +53,20 @@ def exact_ranks(df: DataFrame, groups: list[str], value: str, weight: str, below
     size = one.groupBy(*groups).agg(F.sum("_w").alias(n))
     cond = F.expr(" and ".join(f"r.`{c}` <=> s.`{c}`" for c in groups)) if groups else F.lit(True)
     return run.alias("r").join(size.alias("s"), cond).select(*[F.col(f"r.`{c}`") for c in [*groups, value, at_or_below, below]], F.col(f"s.`{n}`"))
+
+
+def running_maxima(df: DataFrame, groups: list[str], order: list[str], values: dict[str, str]) -> DataFrame:
+    """Add, for each (new column -> value column), the maximum over the rows of the group strictly before this one.
+
+    ``order`` must be unique in a group. As running_totals, no task holds more
+    than a range; the maxima of earlier ranges come in as offsets.
+    """
+    keys = [*groups, *order]
+    spread = cut_lineage(df.repartitionByRange(*keys).withColumn(_PART, F.spark_partition_id()))
+    parts = spread.groupBy(*groups, _PART).agg(*[F.max(v).alias(f"_m_{n}") for n, v in values.items()])
+    earlier = Window.partitionBy(*groups).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(*groups, _PART, *[F.max(f"_m_{n}").over(earlier).alias(f"_o_{n}") for n in values])
+    here = Window.partitionBy(*groups, _PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = spread.select("*", *[F.max(v).over(here).alias(f"_l_{n}") for n, v in values.items()])
+    joined = local.alias("l").join(offsets.alias("o"), F.expr(" and ".join([f"l.`{c}` <=> o.`{c}`" for c in [*groups, _PART]])))
+    return joined.select(*[F.col(f"l.`{c}`") for c in df.columns], *[F.greatest(F.col(f"_o_{n}"), F.col(f"_l_{n}")).alias(n) for n in values])

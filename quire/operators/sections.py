@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators.ranking import running_totals
+from quire.operators.ranking import running_maxima, running_totals
 
 _NUMBERED = r"^\d+(?:\.\d+){0,3}(?:[).:-]|\s)"
 
@@ -59,11 +59,12 @@ def parents(sections: DataFrame) -> DataFrame:
     A section without a level has no parent. Levels are at most 4, so the last
     section of each smaller level is all that a row needs from the past.
     """
-    before = Window.partitionBy("doc_id").orderBy("section_no").rowsBetween(Window.unboundedPreceding, -1)
     eff = F.coalesce("level", F.lit(1))
-    last = [F.max(F.when(eff == i, F.col("section_no"))).over(before) for i in (1, 2, 3)]
-    pick = F.when(F.col("level") == 2, last[0]).when(F.col("level") == 3, F.greatest(last[0], last[1])).when(F.col("level") == 4, F.greatest(*last))
-    return sections.select("doc_id", "section_no", pick.alias("parent_no"))
+    marked = sections.select("doc_id", "section_no", "level", *[F.when(eff == i, F.col("section_no")).alias(f"_n{i}") for i in (1, 2, 3)])
+    m = running_maxima(marked, ["doc_id"], ["section_no"], {f"_last{i}": f"_n{i}" for i in (1, 2, 3)})
+    one, two, three = (F.col(f"_last{i}") for i in (1, 2, 3))
+    pick = F.when(F.col("level") == 2, one).when(F.col("level") == 3, F.greatest(one, two)).when(F.col("level") == 4, F.greatest(one, two, three))
+    return m.select("doc_id", "section_no", pick.alias("parent_no"))
 
 
 def paths(sections: DataFrame, up: DataFrame) -> DataFrame:
