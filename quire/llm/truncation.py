@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.joins import salted_lookup
 from quire.operators.ranking import exact_ranks
 from quire.session import cut_lineage
 
@@ -157,17 +158,19 @@ def truncated(docs: DataFrame, least: int = 30, end_rate: float = 0.02) -> DataF
     are never cut; a null source has no limits of its own.
     """
     sig = cut_lineage(unexplained_lengths(docs).select("source", "measure", "length"))
-    e = endings(docs)
+    e = cut_lineage(endings(docs))
     by = lambda m, name: sig.where(F.col("measure") == m).select("source", F.col("length").alias(m), F.lit(True).alias(name))
-    e = e.join(by("chars", "at_chars"), ["source", "chars"], "left").join(by("bytes", "at_bytes"), ["source", "bytes"], "left")
+    e = salted_lookup(e, by("chars", "at_chars"), ["source", "chars"], "doc_id")
+    e = salted_lookup(e, by("bytes", "at_bytes"), ["source", "bytes"], "doc_id")
     words = cut_lineage(word_ends(docs))
     prefixes = words.where(F.col("n_mid") + F.col("n_end") >= least).select(F.explode(F.expr("transform(sequence(1, greatest(length(w) - 1, 1)), i -> substr(w, 1, i))")).alias("w"), (F.col("n_mid") + F.col("n_end")).alias("n")).groupBy("w").agg(F.sum("n").alias("n_longer"))
     tails = words.where(F.length("w") >= 4).groupBy(F.expr("right(w, 3)").alias("tail")).agg(F.sum(F.col("n_mid") + F.col("n_end")).alias("n_tail"))
     total = words.agg(F.sum(F.col("n_mid") + F.col("n_end")).alias("n_words"))  # one row
     formulas = e.groupBy("line").agg(F.count_distinct("text_hash").alias("n_line")).where(F.col("n_line") >= _FORMULA).select("line", F.lit(True).alias("formula"))
-    e = e.join(formulas, "line", "left").na.fill(False, ["formula"])
+    e = salted_lookup(e, formulas, ["line"], "doc_id").na.fill(False, ["formula"])
     j = e.withColumn("w", F.lower("last")).withColumn("tail", F.expr("right(w, 3)"))
-    j = j.join(words, "w", "left").join(prefixes, "w", "left").join(tails, "tail", "left").crossJoin(F.broadcast(total))
+    j = salted_lookup(j, words.join(prefixes, "w", "full"), ["w"], "doc_id")
+    j = salted_lookup(j, tails, ["tail"], "doc_id").crossJoin(F.broadcast(total))
     j = j.na.fill(0, ["n_mid", "n_end", "n_longer", "n_tail", "n_words"]).na.fill(False, ["at_chars", "at_bytes"])
     n = F.col("n_mid") + F.col("n_end")
     lower = F.col("last") == F.lower("last")
