@@ -108,10 +108,7 @@ def split_pieces(chunks: DataFrame, limits: DataFrame, key: str = "chunk_id", ke
 
 def oversized(chunks: DataFrame, limits: DataFrame, key: str = "chunk_id") -> DataFrame:
     """The keys that the splitter cuts into more than one piece, once each."""
-    c = with_limits(chunks.where(F.col("text").isNotNull()), limits)
-    m, _, _, step = plan_columns(F.col("max_chars"), F.col("overlap_chars"))
-    n = F.when(F.length("text") <= m, 1).otherwise(F.ceil(F.length("text") / step))
-    return c.where(n > 1).select(key).distinct()
+    return split_pieces(chunks, limits, key, ()).where("n_pieces > 1").select(key).distinct()
 
 
 # --- giant files, by byte ranges ---------------------------------------------
