@@ -232,6 +232,20 @@ def test_truncated_by_limit_trace_and_word(spark):
     assert truncation.truncated(d.limit(0)).count() == 0
 
 
+def test_word_verdicts_do_not_depend_on_the_size(spark):
+    whole = "Both borders began beside brown bridges before big branches bent. " * 11 + "Column b is there. Column b."
+    for copies in (10, 200):
+        rows = [(i, f"{i} {whole}", "s") for i in range(copies)] + [(1000, f"{whole} Near the river they met b", "s")]
+        d = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+        assert {r["doc_id"]: r["reason"] for r in truncation.truncated(d, least=5).collect()} == {1000: "word"}
+    rows = [(20_000 + i, f"{i} {whole}", "s") for i in range(10)]
+    rows += [(21_000 + i, f"text {i} of them\nthe other b", None) for i in range(9)] + [(22_000 + i, f"text {i} of them\nthe part b", None) for i in range(20)]
+    rows += [(23_000, "Xqz stands here. " + "word " * 900_000 + "ends.", "s"), (23_001, "They saw the office of old Xqz", "s")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string").unionByName(spark.range(9000).selectExpr("id as doc_id", "concat('Some words stand here\nrow ', id) as text", "string(null) as source"))
+    # nine of 9000 open texts share a line by chance, twenty share a formula; a name seen once in 900,000 words is as good as new
+    assert {r["doc_id"] for r in truncation.truncated(d, least=5).where("reason = 'word'").collect()} == {*range(21_000, 21_009), 23_001}
+
+
 # --- registered queries ---------------------------------------------------------
 
 
