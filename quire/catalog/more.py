@@ -4,10 +4,10 @@ from pyspark.sql import functions as F
 
 from quire.catalog import sql as S
 from quire.catalog.planning import _CONF, _FAM, _INTENT, _heads, _queries
-from quire.catalog.retrieval import _AL, _EV, _RER, _RH, _bucketed, _chunks, _claims, _run_hits, _top
+from quire.catalog.retrieval import _AL, _EV, _FOLD, _PACK, _RER, _RH, _bucketed, _chunks, _claims, _run_hits, _top
 from quire.operators import answers, diagnostics, layout, planning, rendering, retrieval, tables
 from quire.queries import query
-from quire.session import table
+from quire.session import cut_lineage, table
 
 
 def _blocks(spark, sf):
@@ -44,6 +44,11 @@ def r4(spark, sf):
     return _chunks(spark, sf).select("chunk_id", retrieval.structural_signal(F.lit("see Appendix B and table 2"), F.concat_ws(" ", "section_title", "text")).alias("structural"))
 
 
+@query("r4_case_signals", f"with {_RER} select query_id, chunk_id, structural_signal structural from rer")
+def r4_cases(spark, sf):
+    return retrieval.reranked(_queries(spark, sf), _chunks(spark, sf)).select("query_id", "chunk_id", F.col("structural_signal").alias("structural"))
+
+
 @query("a4_sentence_budgets", f"with q as (select case_id query_id, query from eval_cases), qi as (select query_id, {_INTENT} intent from (select *, lower(coalesce(query, '')) l from q)) select query_id, intent, case intent when 'definition' then 1 when 'document_overview' then 4 when 'source_listing' then 4 when 'cross_document_compare' then 4 else 3 end budget from qi")
 def a4(spark, sf):
     q = _queries(spark, sf).select("query_id", planning.intent(F.col("query")).alias("intent"))
@@ -90,6 +95,7 @@ def m4(spark, sf):
 
 
 def _results(spark, sf):
+    """As the SQL of m5 and m6 has it: retrieval taken as perfect, coverage of the case's own passage. ``_retrieved_results`` measures both."""
     from quire.operators import metrics
 
     cases = table(spark, sf, "eval_cases")
@@ -114,6 +120,39 @@ def m6(spark, sf):
     return diagnostics.suite_summary(r, diagnostics.case_status(r))
 
 
+def _retrieved_results(spark, sf):
+    """The suite with retrieval counted: hits against chunks that hold all expected keywords, coverage of the evidence."""
+    from quire.operators import metrics
+
+    cases, q, chunks, top = table(spark, sf, "eval_cases"), _queries(spark, sf), _chunks(spark, sf), cut_lineage(_top(spark, sf))
+    as_case = lambda df: df.withColumnRenamed("query_id", "case_id")
+    sc = cut_lineage(answers.scored_sentences(q, top, chunks))
+    ev = answers.selected_evidence(sc)
+    hits = as_case(top).select("case_id", F.col("chunk_id").alias("item"), F.col("new_rank").alias("rank"))
+    return cut_lineage(diagnostics.case_results(cases, hits, metrics.keyword_relevance(cases, chunks), as_case(rendering.joined_evidence(ev, sc)), as_case(answers.abstentions(q, ev))))
+
+
+_RST = f"""with {_EV}, pk as (select * from ev where pick <= 4), an as (select p.query_id, string_agg(s.sentence, ' ' order by p.pick) answer, max(p.score) m from pk p join sc s on p.query_id = s.query_id and p.chunk_id = s.chunk_id and p.sentence_no = s.sentence_no group by 1),
+kt as (select distinct case_id, unnest(regexp_extract_all(lower(array_to_string(expected_keywords, ' ')), '[\\p{{L}}\\p{{N}}]+')) term from eval_cases), kn as (select case_id, count(*) n from kt group by 1), wt as (select distinct chunk_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) term from chunks where text is not null),
+rl as (select kt.case_id, wt.chunk_id from kt join wt using (term) join kn on kt.case_id = kn.case_id group by kt.case_id, wt.chunk_id, kn.n having count(*) = kn.n), rn as (select case_id, count(*) n_rel from rl group by 1),
+t5 as (select * from (select query_id, chunk_id, row_number() over (partition by query_id order by late, rank) nr from dv) where nr <= 5), rk as (select t5.query_id case_id, count(rl.chunk_id) hit, min(case when rl.chunk_id is not null then nr end) f from t5 left join rl on t5.query_id = rl.case_id and t5.chunk_id = rl.chunk_id group by 1),
+r as (select e.case_id, e.passage is null negative, coalesce(an.m, 0) < 2 abstained, coalesce(e.expected_keywords, []::varchar[]) kw, coalesce(an.answer, '') t, coalesce(round(rk.hit / rn.n_rel, 6), 0.0)::double recall, coalesce(round(1.0 / rk.f, 6), 0.0)::double rr from eval_cases e left join an on e.case_id = an.query_id left join rk on e.case_id = rk.case_id left join rn on e.case_id = rn.case_id),
+c as (select *, (case when len(kw) = 0 then 0.0 else round(len(list_filter(kw, lambda k: contains({_FOLD.format('t')}, {_FOLD.format('k')}) or contains({_PACK.format('t')}, {_PACK.format('k')}))) / len(kw), 6) end)::double cov from r),
+st as (select *, case when negative and abstained then 'pass' when negative then 'negative_fail' when abstained then 'fail' when rr < 1 or recall < 1 then 'retrieval_warning' when cov < 1 then 'answer_warning' else 'pass' end status from c)"""
+
+
+@query("m5_retrieval_status", _RST + " select case_id, recall, rr reciprocal_rank, cov coverage, status from st")
+def m5_retrieval(spark, sf):
+    r = _retrieved_results(spark, sf)
+    return r.select("case_id", "recall", "reciprocal_rank", "coverage").join(diagnostics.case_status(r), "case_id")
+
+
+@query("m6_retrieval_summary", _RST + " select count(*) n_cases, round(avg(case when not negative then recall end), 6)::double mean_recall, round(avg(case when not negative then rr end), 6)::double mrr, round(avg(case when not negative then cov end), 6)::double mean_coverage, count(*) filter (negative) n_negative, count(*) filter (not negative and status <> 'pass') n_warnings from st")
+def m6_retrieval(spark, sf):
+    r = _retrieved_results(spark, sf)
+    return diagnostics.suite_summary(r, diagnostics.case_status(r))
+
+
 @query("m8_layers", """with v as (select 'processing' as layer, confidence as value, 0.5::double threshold from inspector_results union all select 'structure', structure_confidence, 0.3::double from (select * exclude (rn) from (select *, row_number() over (partition by doc_id order by registered_at desc nulls last) rn from doc_heads) where rn = 1))
   select layer, count(*) n, round(avg(value), 6) mean, bool_and(coalesce(value >= threshold, false)) all_pass from v group by 1""")
 def m8(spark, sf):

@@ -6,6 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators import metrics
+
+
+def case_results(cases: DataFrame, hits: DataFrame, relevant: DataFrame, answered: DataFrame, abstentions: DataFrame, k: int = 5) -> DataFrame:
+    """case_id, negative, abstained, reciprocal_rank, recall, coverage: what ``case_status`` and ``suite_summary`` judge.
+
+    ``hits`` (case_id, item, rank) against ``relevant`` (case_id, item); coverage is that of the
+    answer (case_id, answer). A case without hits, relevant items or an answer counts as 0.
+    """
+    c = cases.join(answered.select("case_id", "answer"), "case_id", "left")
+    r = metrics.ranking_metrics(hits, relevant, "case_id", k).select("case_id", "recall", "reciprocal_rank")
+    j = cases.select("case_id", F.col("passage").isNull().alias("negative")).join(abstentions.select("case_id", F.col("abstain").alias("abstained")), "case_id", "left")
+    return j.join(metrics.keyword_coverage(c, "answer").drop("matched"), "case_id").join(r, "case_id", "left").na.fill(0.0, ["recall", "reciprocal_rank"])
 
 
 def case_status(results: DataFrame) -> DataFrame:

@@ -37,6 +37,17 @@ def keyword_coverage(cases: DataFrame, text: str = "passage") -> DataFrame:
     return cases.select("case_id", F.size(hit).alias("matched"), F.when(F.size(kw) > 0, F.round(F.size(hit) / F.size(kw), 6)).otherwise(0.0).alias("coverage"))
 
 
+def keyword_relevance(cases: DataFrame, chunks: DataFrame) -> DataFrame:
+    """case_id, item: the chunks that hold every word of a case's expected keywords, for cases without judged chunks.
+
+    Cases and chunks meet on words, never all with all. A case without keywords has no relevant chunk.
+    """
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), 0))
+    k = cases.select("case_id", words(F.array_join("expected_keywords", " ")).alias("ws")).select("case_id", F.size("ws").alias("n"), F.explode("ws").alias("term"))
+    c = chunks.where("text is not null").select(F.col("chunk_id").alias("item"), F.explode(words(F.col("text"))).alias("term"))
+    return c.join(k, "term").groupBy("case_id", "item", "n").agg(F.count(F.lit(1)).alias("found")).where("found = n").select("case_id", "item")
+
+
 def slices(cases: DataFrame, measures: DataFrame) -> DataFrame:
     """slice, n_cases, mean_coverage: a case counts in each of its slices (type, bucket, tags), once."""
     tags = F.transform(F.coalesce("case_tags", F.array().cast("array<string>")), lambda x: F.concat(F.lit("tag:"), x))

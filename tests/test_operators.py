@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quire.operators import answers, blocks, chunks, metrics, retrieval, sections, vectors
+from quire.operators import answers, blocks, chunks, diagnostics, metrics, retrieval, sections, vectors
 
 BLOCK = "doc_id string, page_num int, block_id string, reading_order_index int, bbox array<double>"
 
@@ -82,6 +82,29 @@ def test_ranking_metrics_divide_by_what_was_returned(spark):
     assert got == {"q": (0.5, 0.5, 0.5), "r": (0.0, 0.0, 0.0), "s": (0.0, 0.0, 0.0)}
 
 
+def test_a_suite_counts_what_retrieval_misses(spark):
+    cases = spark.createDataFrame([("good", "p", ["red", "lamp"]), ("late", "p", ["blue"]), ("miss", "red", ["red"]), ("neg", None, ["x"]), ("nohit", "p", ["red"])], "case_id string, passage string, expected_keywords array<string>")
+    chunks = spark.createDataFrame([("c1", "A Red lamp."), ("c2", "A red shade."), ("c3", "blue"), ("c4", None)], "chunk_id string, text string")
+    rel = metrics.keyword_relevance(cases, chunks)
+    assert sorted(map(tuple, rel.collect())) == [("good", "c1"), ("late", "c3"), ("miss", "c1"), ("miss", "c2"), ("nohit", "c1"), ("nohit", "c2")]
+    hits = spark.createDataFrame([("good", "c1", 1), ("late", "c1", 1), ("late", "c3", 2), ("miss", "c3", 1), ("neg", "c1", 1)], "case_id string, item string, rank int")
+    said = spark.createDataFrame([("good", "A Red lamp."), ("late", "blue"), ("miss", "blue")], "case_id string, answer string")
+    ab = spark.createDataFrame([("good", False), ("late", False), ("miss", False), ("neg", True), ("nohit", False)], "case_id string, abstain boolean")
+    r = diagnostics.case_results(cases, hits, rel, said, ab)
+    got = {x["case_id"]: (x["recall"], x["reciprocal_rank"], x["coverage"]) for x in r.collect()}
+    assert got == {"good": (1.0, 1.0, 1.0), "late": (1.0, 0.5, 1.0), "miss": (0.0, 0.0, 0.0), "neg": (0.0, 0.0, 0.0), "nohit": (0.0, 0.0, 0.0)}
+    status = diagnostics.case_status(r)
+    assert {x["case_id"]: x["status"] for x in status.collect()} == {"good": "pass", "late": "retrieval_warning", "miss": "retrieval_warning", "neg": "pass", "nohit": "retrieval_warning"}
+    s = diagnostics.suite_summary(r, status).first()
+    assert (s["mean_recall"], s["mrr"], s["mean_coverage"], s["n_warnings"]) == (0.5, 0.375, 0.5, 3)
+
+
+def test_every_upload_rule_can_reject(spark):
+    rows = [("ok", "%PDF-1.7", 1000, 3), ("html", "<html>", 1000, 3), ("big", "%PDF-1.4", 10**12, 3), ("long", "%PDF-1.7", 1000, 21)]
+    got = diagnostics.upload_rejections(spark.createDataFrame(rows, "name string, head string, length bigint, page_count int"), most_pages=20).collect()
+    assert {r["name"]: r["reason"] for r in got} == {"html": "not_pdf", "big": "too_large", "long": "too_many_pages"}
+
+
 def test_round_robin_takes_buckets_in_turn(spark):
     rows = [("a", i, f"a{i}") for i in range(5)] + [("b", 0, "b0")]
     got = metrics.round_robin(spark.createDataFrame(rows, "bucket string, page_count int, doc_id string"), 4).collect()
