@@ -58,6 +58,11 @@ def contracts(queries: DataFrame, k: int = 5) -> DataFrame:
     return q.select("query_id", "intent", path.alias("path"), F.greatest(mult * k, least).alias("pool_size"), F.when(i == "generic", 1).when(i == "definition", 0).otherwise(2).alias("neighbor_depth"), F.when(path == "cross_document_discovery", 1).otherwise(2).alias("per_doc_limit"))
 
 
+def largest_pool(k: int = 5) -> int:
+    """The largest pool that a contract gives."""
+    return max(max(m * k, least) for m, least in (*POOLS.values(), DEFAULT_POOL))
+
+
 def augmented(queries: DataFrame) -> DataFrame:
     """query_id, augmented: the query with what its intent adds."""
     add = F.element_at(F.create_map(*[F.lit(x) for n, v in EXPANSIONS.items() for x in (n, v)]), intent(F.col("query")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import answers, planning, retrieval, semantics
+from quire.session import cut_lineage
 
 #: Sentences an answer may have, by intent; others have 3.
 BUDGETS = {"definition": 1, "document_overview": 4, "source_listing": 4, "cross_document_compare": 4}
@@ -54,11 +55,16 @@ def joined_evidence(evidence: DataFrame, scored: DataFrame) -> DataFrame:
 def answered(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
     """query_id, intent, answer, sources, abstained, trace (JSON): plan, retrieve, select, abstain or answer, for a batch of queries.
 
-    Every query has a row. A query whose evidence is missing or weak abstains with an empty answer.
+    Each query is searched with what its intent adds, in its contract's pool, with at most ``per_doc_limit`` hits of a document first and
+    neighbours up to ``neighbor_depth`` hops. Every query has a row. A query whose evidence is missing or weak abstains with an empty answer.
     """
     contract = planning.contracts(queries, k)
-    hits = retrieval.diversified(retrieval.reranked(queries, chunks), ["query_id"], k)
-    scored = answers.scored_sentences(queries, hits, chunks)
+    limits = contract.select("query_id", "per_doc_limit", "neighbor_depth")
+    searched = planning.augmented(queries).withColumnRenamed("augmented", "query")
+    ranked = retrieval.reranked(queries, chunks, planning.largest_pool(k), contract.select("query_id", "pool_size"), searched)
+    hits = retrieval.diversified(ranked.join(limits, "query_id"), ["query_id"], k, F.col("per_doc_limit")).select("query_id", "neighbor_depth", "chunk_id")
+    near = retrieval.neighbours(cut_lineage(hits), chunks).where("hop <= neighbor_depth")
+    scored = cut_lineage(answers.scored_sentences(queries, near, chunks))
     ev = answers.selected_evidence(scored)
     ev = ev.join(contract.select("query_id", sentence_budget(F.col("intent")).alias("most")), "query_id").where("pick <= most").drop("most")
     text = joined_evidence(ev, scored)

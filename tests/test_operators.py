@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quire.operators import answers, blocks, chunks, diagnostics, metrics, retrieval, sections, vectors
+from quire.operators import answers, blocks, chunks, diagnostics, metrics, rendering, retrieval, sections, vectors
 
 BLOCK = "doc_id string, page_num int, block_id string, reading_order_index int, bbox array<double>"
 
@@ -105,6 +105,29 @@ def test_every_upload_rule_can_reject(spark):
     assert {r["name"]: r["reason"] for r in got} == {"html": "not_pdf", "big": "too_large", "long": "too_many_pages"}
 
 
+def _answer(spark, query, rows, k):
+    cols = "chunk_id string, doc_id string, text string, preceding_chunk_id string, following_chunk_id string"
+    ch = spark.createDataFrame(rows, cols).withColumns({"section_title": F.lit(None).cast("string"), "noise_labels": F.array().cast("array<string>"), "content_hints": F.array().cast("array<string>"), "quality_score": F.lit(1.0)})
+    return rendering.answered(spark.createDataFrame([("q", query)], "query_id string, query string"), ch, k).first()
+
+
+def test_answers_keep_to_the_contract_they_report(spark):
+    scattered = "A red box was put in the yard this morning. The old lamps are kept in another building."
+    rows = [(f"c{i:02}", f"d{i:02}", scattered if i != 30 else "The red lamps were put in this building.", None, None) for i in range(41)]
+    assert "d30" in _answer(spark, "Which red lamps", rows, 5)["sources"]  # pool of 40
+    assert "d40" not in _answer(spark, "Which red lamps", [r if r[0] != "c30" else ("c40", *r[1:]) for r in rows[:40]] + [("c99", "d40", rows[30][2], None, None)], 5)["sources"]
+
+    rows = [("a1", "a", "The red lamps stand in the northern hall.", None, None), ("a2", "a", "Some red lamps hang in the southern hall.", None, None), ("b1", "b", "A red door leads into the western hall.", None, None)]
+    assert _answer(spark, "red lamps", rows, 2)["answer"] == f"{rows[0][2]} {rows[1][2]}"  # two of a document
+
+    rows = [("n0", "n", "The red lamps stand in the northern hall.", None, "n1"), ("n1", "n", "Next come lamps of another shape and size.", "n0", "n2"), ("n2", "n", "Last come lamps that nobody has ever lit.", "n1", None)]
+    said = [_answer(spark, q, rows, 1)["answer"] for q in ("define red lamps", "red lamps", "how red lamps")]
+    assert said == [" ".join(r[2] for r in rows[:n]) for n in (1, 2, 3)]  # neighbours up to 0, 1 and 2 hops
+
+    rows = [(f"e{i:02}", f"e{i:02}", scattered, None, None) for i in range(25)] + [("e99", "e99", "The word is defined here: red lamps means signals.", None, None)]
+    assert _answer(spark, "define red lamps", rows, 1)["answer"] == rows[-1][2]  # searched with what the intent adds
+
+
 def test_round_robin_takes_buckets_in_turn(spark):
     rows = [("a", i, f"a{i}") for i in range(5)] + [("b", 0, "b0")]
     got = metrics.round_robin(spark.createDataFrame(rows, "bucket string, page_count int, doc_id string"), 4).collect()
