@@ -4,7 +4,7 @@ Every statistic is a share in thousandths, high where a text is unlike prose.
 Ranks are exact within a language: values are counted, range partitioned,
 sorted and summed with partition offsets. The share of texts with a value at
 least as high is its tail probability; the outlier score of a text is the sum
-of the negative logs of its tails.
+of the negative logs of its tails, each times the value, and decides alone.
 """
 
 from __future__ import annotations
@@ -151,47 +151,49 @@ def statistics(blocks: DataFrame, keep: tuple[str, ...] = ("block_id", "block_ki
     return b.mapInPandas(run, schema)
 
 
-#: Languages with fewer texts are ranked among the texts of all languages.
-LEAST_TEXTS = 200
+#: The tails of a language are drawn to those of all texts as if it had so many more texts that lie like all: smooth, so that no count switches anything.
+PRIOR_TEXTS = 200
+#: Fixed weights: the share of words outside sentences speaks of prose itself, the others of what stands in its place.
+WEIGHTS = {"unsentenced": 2.0}
+#: Where the scores of prose and of everything else part in the invented tables.
+LEAST_SCORE = 5.5
 
 
-def tails(stats: DataFrame) -> DataFrame:
-    """lang, n_texts, tails: for each language, per statistic, the log tail of each of its values.
+def tails(stats: DataFrame, names: tuple[str, ...] = STATS) -> DataFrame:
+    """lang, tails: for each language, per statistic (by its place in ``names``), the negative log tail of each of its values.
 
-    ``*`` stands for all languages together. The size is bounded by languages x
-    statistics x 1001 values, whatever the input.
+    The size is bounded by languages x statistics x 1001 values, whatever the input.
     """
-    long = stats.select("lang", F.explode(F.array(*[F.struct(F.lit(i).alias("stat"), F.col(s).alias("value")) for i, s in enumerate(STATS)])).alias("x")).select("lang", "x.stat", "x.value")
+    long = stats.select("lang", F.explode(F.array(*[F.struct(F.lit(i).alias("stat"), F.col(s).alias("value")) for i, s in enumerate(names)])).alias("x")).select("lang", "x.stat", "x.value")
     counts = cut_lineage(long.groupBy("lang", "stat", "value").agg(F.count(F.lit(1)).alias("n")))
-    pooled = counts.groupBy("stat", "value").agg(F.sum("n").alias("n")).withColumn("lang", F.lit("*"))
-    ranks = exact_ranks(counts.unionByName(pooled), ["lang", "stat"], "value", "n")
-    tail = ranks.select("lang", "stat", "value", "n_group", (-F.log((F.col("n_group") - F.col("n_below")) / F.col("n_group"))).alias("nlog"))
-    per = tail.groupBy("lang", "stat").agg(F.map_from_entries(F.collect_list(F.struct("value", "nlog"))).alias("m"), F.max("n_group").alias("n"))
-    return per.groupBy("lang").agg(F.max("n").alias("n_texts"), F.map_from_entries(F.collect_list(F.struct("stat", "m"))).alias("tails"))
-
-
-def scored(stats: DataFrame) -> DataFrame:
-    """The statistics with ``outlier_score``."""
-    t = tails(stats)
-    small = [r["lang"] for r in t.where(F.col("n_texts") < LEAST_TEXTS).select("lang").collect()]  # of the listed languages
-    t = F.broadcast(t.select(F.col("lang").alias("_group"), "tails"))
-    j = stats.withColumn("_group", F.when(F.col("lang").isin(small), F.lit("*")).otherwise(F.col("lang"))).join(t, "_group")
-    terms = [F.element_at(F.element_at("tails", F.lit(i)), F.col(s)) for i, s in enumerate(STATS)]
-    score = terms[0]
-    for x in terms[1:]:
-        score = score + x
-    return j.withColumn("outlier_score", F.round(score, 6)).drop("tails", "_group")
-
-
-def not_prose(blocks: DataFrame, least_score: float = 5.0, most_sentenced: int = 500, least_chars: int = 80) -> DataFrame:
+    own = exact_ranks(counts, ["lang", "stat"], "value", "n")
+    pooled = exact_ranks(counts, ["stat"], "value", "n").select("stat", "value", ((F.col("n_group") - F.col("n_below")) / F.col("n_group")).alias("pool"))
+    tail = (F.col("n_group") - F.col("n_below") + PRIOR_TEXTS * F.col("pool")) / (F.col("n_group") + PRIOR_TEXTS)
+    nlog = own.join(F.broadcast(pooled), ["stat", "value"]).select("lang", "stat", "value", (-F.log(tail)).alias("nlog"))  # statistics x 1001 rows
+    per = nlog.groupBy("lang", "stat").agg(F.map_from_entries(F.collect_list(F.struct("value", "nlog"))).alias("m"))
+    return per.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("stat", "m"))).alias("tails"))
+
+
+def scored(stats: DataFrame, names: tuple[str, ...] = STATS) -> DataFrame:
+    """The statistics with ``outlier_score``: the sum over ``names`` of value (as a share) x weight x negative log tail.
+
+    A value counts by how rare it is in its language and by how far it goes: half a
+    text out of sentences tells less than a whole one, though both may be as rare.
+    """
+    t = F.broadcast(tails(stats, names))  # languages x statistics x 1001 values at most
+    j = stats.join(t, "lang")
+    score = F.lit(0.0)
+    for i, s in enumerate(names):
+        score = score + F.col(s) / 1000 * WEIGHTS.get(s, 1.0) * F.element_at(F.element_at("tails", F.lit(i)), F.col(s))
+    return j.withColumn("outlier_score", F.round(score, 6)).drop("tails")
+
+
+def not_prose(blocks: DataFrame, least_score: float = LEAST_SCORE, least_chars: int = 80) -> DataFrame:
     """Blocks stored as text (or as nothing) that aren't running prose, with statistics and score, once per block.
 
-    A block is a case when its outlier score reaches ``least_score`` and, by the
-    exact check, at most ``most_sentenced`` thousandths of its words stand in
-    sentences. Null, empty and short texts are no cases. Redeliveries count in
+    A block is a case when its outlier score reaches ``least_score``; nothing
+    else decides. Null, empty and short texts are no cases. Redeliveries count in
     the ranks as often as they come.
     """
     b = blocks.where((F.col("block_kind").isNull() | (F.col("block_kind") == "text")) & (F.length("text") >= least_chars))
-    s = scored(cut_lineage(statistics(b)))
-    found = s.where((F.col("outlier_score") >= least_score) & (F.col("unsentenced") >= 1000 - most_sentenced))
-    return found.dropDuplicates(["block_id"])
+    return scored(cut_lineage(statistics(b))).where(F.col("outlier_score") >= least_score).dropDuplicates(["block_id"])
