@@ -1,217 +1,268 @@
 """Held-out passages inside training documents, by winnowed fingerprints.
 
-Words are folded (case, accents, punctuation, spacing, line-end hyphens), every
-``K`` words in a row are hashed, and of every ``WINDOW`` hashes in a row the
-least is kept. Two texts that share ``K + WINDOW - 1`` words in a row share a
-kept hash. Of ``least`` words in a row with one changed word in nine some run
-is at least that long, so every such stretch is met; met stretches are extended
-word by word and measured.
+Words are folded (case, accents, punctuation, spacing, line-end hyphens; each
+Han character is a word), every ``K`` words in a row are hashed, and of every
+``WINDOW`` hashes in a row the least is kept. Two texts that share ``K + WINDOW
+- 1`` words in a row share a kept hash. Fingerprints of documents and passages
+are joined; each hit is extended both ways by furthest-reaching edit steps over
+words, so changed, dropped and added words are followed alike.
+
+Why nothing is lost: let a stretch of at least ``least`` words hold at most
+``rate`` changes a word. Cut at some of its changes into parts of m to 2m
+changes, m being the least number with m / rate >= least, one part keeps the
+rate; it is at least ``least`` words long, has at most 2m changes and a run of
+``surest_run`` equal words. So following 2m changes from each hit finds it.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-K, WINDOW = 4, 3
-#: Cases are looked up in blocks whose words stay below this; each block is one pass over the documents.
-BLOCK_WORDS = 400_000
+from quire.operators.joins import in_bitmap, key_bitmap
+from quire.session import cut_lineage
+
+K, WINDOW = 4, 2
+#: Fingerprints of passages are broadcast up to so many (24 MB), and passages' words up to so many (32 MB); beyond, both are joined by shuffle.
+BROADCAST_PRINTS, BROADCAST_WORDS = 1_000_000, 4_000_000
+#: Cases of a document that one row carries at most on average, whatever the number of cases.
+CASES_A_ROW = 10_000
 _MARKS = re.compile("[̀-ͯ]+")
 _INNER = re.compile("[-‐‑­¬][ \t]*\r?\n[ \t]*|['’ʼ`´­‐‑-]")
-_WORDS = re.compile(r"[^\W_]+")
-_MASK = (1 << 64) - 1
+_WORDS = re.compile("[㐀-鿿]|[^\\W_㐀-鿿]+")
+
+
+@lru_cache(maxsize=200_000)
+def _plain(word: str) -> tuple[str, ...]:
+    return tuple(_WORDS.findall(_MARKS.sub("", unicodedata.normalize("NFKD", word))))
 
 
 def folded_words(text: str) -> list[str]:
     """The words of a text without case, accents, punctuation and line-end hyphens."""
     t = text.casefold()
-    if not t.isascii():
-        t = _MARKS.sub("", unicodedata.normalize("NFKD", t))
-    return _WORDS.findall(_INNER.sub("", t))
+    if t.isascii():
+        return _WORDS.findall(_INNER.sub("", t))
+    words = _WORDS.findall(_INNER.sub("", _MARKS.sub("", t)))
+    return [x for w in words for x in ((w,) if w.isascii() else _plain(w))]
+
 
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word of all texts in a row, number of the text each stands in)."""
+    words = [folded_words(t) for t in texts]
+    flat = np.array([w for ws in words for w in ws], dtype=object)
+    owner = np.repeat(np.arange(len(words)), [len(ws) for ws in words])
+    return (pd.util.hash_array(flat, categorize=True) if len(flat) else np.zeros(0, np.uint64)), owner
 
-def word_hash(word: str) -> int:
-    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
 
+def short_words(text: str) -> list[int]:
+    """The words of one text as the 32-bit hashes that document_prints keeps."""
+    return word_hashes([text])[0].astype(np.uint32).tolist()
 
-def gram_hashes(ids: np.ndarray) -> np.ndarray:
-    """Hash of each K words in a row from the words' hashes (0 where a word has none)."""
+
+def winnowed(ids: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the kept K-grams, their hashes) of word hashes laid in a row; no gram or window crosses from one text to the next.
+
+    Of each WINDOW grams in a row the least hash is kept, the right-most of
+    equals; a text with fewer grams than WINDOW keeps its least one.
+    """
     n = len(ids) - K + 1
     if n <= 0:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     h = np.zeros(n, np.uint64)
-    known = np.ones(n, bool)
     for j in range(K):
-        part = ids[j : j + n]
-        h = (h * np.uint64(0x9E3779B97F4A7C15)) ^ (part + (h >> np.uint64(29)))
-        known &= part != 0
-    return np.where(known, h, np.uint64(_MASK))
-
-
-def winnow(grams: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
-    """Positions kept: the least hash of each WINDOW in a row (the right-most of equals)."""
-    n = len(grams)
-    if n == 0:
-        return np.zeros(0, np.int64)
-    if n < WINDOW:
-        return np.array([n - 1 - int(np.argmin(grams[::-1]))])
-    w = np.stack([grams[j : n - WINDOW + 1 + j] for j in range(WINDOW)][::-1])
-    return np.unique(np.arange(n - WINDOW + 1) + WINDOW - 1 - np.argmin(w, axis=0))
-
-
-@dataclass
-class Passages:
-    """Fingerprints of a block of held-out passages; its size is bounded by BLOCK_WORDS."""
-
-    case_ids: list[str] = field(default_factory=list)
-    words: list[np.ndarray] = field(default_factory=list)
-    vocabulary: dict[str, int] = field(default_factory=dict)
-    prints: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    where: np.ndarray = field(default_factory=lambda: np.zeros((0, 2), np.int64))
-
-    @classmethod
-    def of(cls, cases: list[tuple[str, str]]) -> Passages:
-        p = cls()
-        prints, where = [], []
-        for case_id, passage in cases:
-            ids = np.array([p.vocabulary.setdefault(w, word_hash(w) or 1) for w in folded_words(passage)], np.uint64)
-            g = gram_hashes(ids)
-            kept = winnow(g)
-            prints.append(g[kept])
-            where.append(np.stack([np.full(len(kept), len(p.case_ids)), kept], axis=1))
-            p.case_ids.append(case_id)
-            p.words.append(ids)
-        if prints:
-            h, w = np.concatenate(prints), np.concatenate(where)
-            order = np.argsort(h, kind="stable")
-            p.prints, p.where = h[order], w[order]
-        return p
-
-
-def longest_stretch(same: np.ndarray, rate: float) -> tuple[int, int, int]:
-    """(length, changed, start) of the longest part that begins and ends with equal words and has at most ``rate`` changed."""
-    at = np.flatnonzero(same)
-    if not len(at):
-        return 0, 0, 0
-    # part from at[a] to at[b]: length = at[b]-at[a]+1, equal = b-a+1
-    length = at[None, :] - at[:, None] + 1
-    changed = length - (np.arange(len(at))[None, :] - np.arange(len(at))[:, None] + 1)
-    ok = (length > 0) & (changed <= rate * length)
-    best = np.where(ok, length, 0)
-    a, b = np.unravel_index(int(best.argmax()), best.shape)
-    return int(best[a, b]), int(changed[a, b]), int(at[a])
-
-
-def stretches(doc: np.ndarray, hits: list[tuple[int, int]], passage: np.ndarray, rate: float) -> tuple[int, int, int]:
-    """The best stretch over the diagonals of the hits (document place, passage place).
-
-    A word that is split, joined, dropped or put in moves the diagonal, so the
-    document is also compared along a path that steps between the diagonals hit,
-    each step counting as a changed word.
-    """
+        h = (h * np.uint64(0x9E3779B97F4A7C15)) ^ (ids[j : j + n] + (h >> np.uint64(29)))
+    inside = owner[:n] == owner[K - 1 :]
+    places, own, h = np.flatnonzero(inside), owner[:n][inside], h[inside]
+    kept = np.zeros(len(h), bool)
+    m = len(h) - WINDOW + 1
+    if m > 0:
+        w = np.stack([h[WINDOW - 1 - j : WINDOW - 1 - j + m] for j in range(WINDOW)])  # right-most first
+        at = np.arange(m) + WINDOW - 1 - np.argmin(w, axis=0)
+        kept[at[own[:m] == own[WINDOW - 1 :]]] = True
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[first, len(own)])
+    for a, k in zip(first[size < WINDOW], size[size < WINDOW]):
+        kept[a + k - 1 - int(np.argmin(h[a : a + k][::-1]))] = True
+    return places[kept], h[kept]
+
+
+def most_changes(least: int, rate: float) -> int:
+    """Changes to follow from a hit: 2m of the module's docstring."""
+    return 2 * next(m for m in range(1, least + 1) if m >= rate * least) if rate > 0 else 0
+
+
+_near = lru_cache(most_changes)
+
+
+def surest_run(least: int, rate: float) -> int:
+    """Equal words in a row that every part of the module's docstring has at least."""
+    return min(math.ceil((max(least, math.ceil(m / rate) if m else 0) - m) / (m + 1)) for m in range(most_changes(least, rate) + 1))
+
+
+def reach(a: list[int], b: list[int], changes: int) -> list[int]:
+    """The most words of ``a`` from its start that ``b`` meets from its start with 0 to ``changes`` changes, ending on an equal word."""
+    na, nb, mid = len(a), len(b), changes + 1
+    x, n = 0, min(len(a), len(b))
+    while x < n and a[x] == b[x]:
+        x += 1
+    front, out, best = [-2] * (2 * changes + 3), [x], x
+    front[mid] = x  # by the words of a ahead of those of b
+    for c in range(1, changes + 1):
+        wide = front[:]
+        for d in range(mid - c, mid + c + 1):
+            x, z = front[d], front[d - 1]
+            x = (x if x > z else z) + 1  # a word changed, or one of a left out
+            z = front[d + 1]
+            if z > x:  # one of b left out
+                x = z
+            if x > na:
+                x = na
+            y = x - d + mid
+            if x < 0 or y < 0 or y > nb:
+                continue
+            at = x
+            while x < na and y < nb and a[x] == b[y]:
+                x += 1
+                y += 1
+            wide[d] = x
+            if x > at and x > best:
+                best = x
+        front = wide
+        out.append(best)
+    return out
+
+
+def _best(left: list[int], right: list[int], rate: float) -> tuple[int, int, int]:
+    """(length, changes, words to the left) of the longest stretch around a hit within the rate."""
     best = (0, 0, 0)
-    diagonals = sorted({i - j for i, j in hits})
-    n = len(passage)
-    rows = []
-    for d in diagonals:
-        lo, hi = max(0, -d), min(n, len(doc) - d)
-        same = np.zeros(n, bool)
-        if hi > lo:
-            same[lo:hi] = (doc[lo + d : hi + d] == passage[lo:hi]) & (passage[lo:hi] != 0)
-        rows.append(same)
-        length, changed, start = longest_stretch(same, rate)
-        if length > best[0]:
-            best = (length, changed, start + d)
-    for a, d in enumerate(diagonals):
-        for b in range(a + 1, len(diagonals)):
-            if diagonals[b] - d > 3:
-                break
-            for first, second in ((a, b), (b, a)):
-                # runs of first up to a point, then second
-                x, y = rows[first].astype(int), rows[second].astype(int)
-                total = np.concatenate([[0], np.cumsum(x)])[:-1] + np.cumsum(y[::-1])[::-1]
-                cut = int(total.argmax())
-                both = np.concatenate([rows[first][:cut], [False], rows[second][cut:]])
-                length, changed, start = longest_stretch(both, rate)
-                if length > best[0]:
-                    best = (length, changed, max(0, start + diagonals[first]))
+    for cl, x in enumerate(left):
+        for cr, y in enumerate(right):
+            if x + y > best[0] and cl + cr <= rate * (x + y):
+                best = (x + y, cl + cr, x)
     return best
 
 
-def search(block: Passages, least: int, rate: float):
-    """The function that looks a batch of documents up in a block of passages."""
-    prints, bits = block.prints, 16
-    seen = np.zeros(1 << bits, bool)
-    seen[(prints >> np.uint64(64 - bits)).astype(np.int64)] = True
+def stretch(doc: list[int], passage: list[int], hits: list[tuple[int, int]], least: int, rate: float) -> tuple[int, int, int]:
+    """(words, changed words, first word in the document) of the longest stretch found from the hits; words 0 without one of ``least``.
+
+    ``hits``: (document place, passage place) of equal grams. Hits inside a
+    stretch already found, or inside a run already tried, are not tried again.
+    """
+    found = (0, 0, 0)
+    near = _near(least, rate)
+    tried: dict[int, int] = {}
+    covered: list[tuple[int, int, int]] = []
+    for i, j in sorted(hits):
+        d = i - j
+        if tried.get(d, -1) >= i or any(a <= i < b and abs(d - e) <= near for a, b, e in covered):
+            continue
+        # some ``least`` words of the part around this hit have at most ``near`` changes, so that many equal words must be near
+        close = set(doc[max(0, i - least - near) : i + least + near])
+        if sum(map(close.__contains__, passage[max(0, j - least + K) : j + least])) < least - near:
+            continue
+        ahead, behind = passage[j:], passage[:j][::-1]
+        right = reach(ahead, doc[i : i + len(ahead) + near], near)
+        left = reach(behind, doc[max(0, i - j - near) : i][::-1], near)
+        tried[d] = i + right[0] - 1
+        if _best(left, right, rate)[0] < least:
+            continue
+        all_ = int(rate * len(passage))
+        n, changed, before = _best(reach(behind, doc[max(0, i - j - all_) : i][::-1], all_), reach(ahead, doc[i : i + len(ahead) + all_], all_), rate)
+        covered.append((i - before, i - before + n, d))
+        if n > found[0]:
+            found = (n, changed, max(0, i - before))
+    return found
+
+
+def passage_prints(cases: DataFrame) -> DataFrame:
+    """h, case_id, at: kept fingerprints of each passage."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get = block.vocabulary.get
         for pdf in batches:
-            out = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                ids = np.array([get(w, 0) for w in folded_words(text)], np.uint64)
-                g = gram_hashes(ids)
-                kept = winnow(g)
-                h = g[kept]
-                some = seen[(h >> np.uint64(64 - bits)).astype(np.int64)] & (h != np.uint64(_MASK))
-                if not some.any():
-                    continue
-                kept, h = kept[some], h[some]
-                lo, hi = np.searchsorted(prints, h, "left"), np.searchsorted(prints, h, "right")
-                by: dict[int, list[tuple[int, int]]] = {}
-                for i, a, b in zip(kept.tolist(), lo.tolist(), hi.tolist()):
-                    for c, j in block.where[a:b].tolist():
-                        by.setdefault(c, []).append((i, j))
-                for c, hits in by.items():
-                    if len(hits) < 2:  # a stretch of 20 words with two changed has at least two kept hashes
-                        continue
-                    length, changed, start = stretches(ids, hits, block.words[c], rate)
-                    if length >= least:
-                        out.append((doc_id, block.case_ids[c], length, changed, start))
-            yield pd.DataFrame(out, columns=["doc_id", "case_id", "n_words", "n_changed", "doc_word"])
+            ids, owner = word_hashes(list(pdf["passage"]))
+            at, h = winnowed(ids, owner)
+            first = np.searchsorted(owner, np.arange(len(pdf)))
+            yield pd.DataFrame({"h": h.view(np.int64), "case_id": pdf["case_id"].to_numpy()[owner[at]], "at": (at - first[owner[at]]).astype(np.int32)})
+
+    return cases.mapInPandas(run, "h long, case_id string, at int")
 
-    return run
+
+def document_prints(docs: DataFrame, bitmap: bytes) -> DataFrame:
+    """doc_id, text_hash, words, places, hs: the kept fingerprints of each document that pass the bitmap of the passages', and its words as 32-bit hashes.
+
+    Documents without such a fingerprint give no row.
+    """
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, words binary, places array<int>, hs array<long>"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little")
+        for pdf in batches:
+            ids, owner = word_hashes(list(pdf["text"]))
+            at, h = winnowed(ids, owner)
+            some = in_bitmap(bits, h)
+            at, h = at[some], h[some].view(np.int64)
+            first, mine = np.searchsorted(owner, np.arange(len(pdf) + 1)), np.searchsorted(owner[at], np.arange(len(pdf) + 1))
+            short = ids.astype(np.uint32)
+            out = [(d, x, short[first[k] : first[k + 1]].tobytes(), (at[mine[k] : mine[k + 1]] - first[k]).astype(np.int32), h[mine[k] : mine[k + 1]]) for k, (d, x) in enumerate(zip(pdf["doc_id"], pdf["text_hash"])) if mine[k + 1] > mine[k]]
+            yield pd.DataFrame(out, columns=["doc_id", "text_hash", "words", "places", "hs"])
+
+    return docs.mapInPandas(run, schema)
 
 
 def leaks(docs: DataFrame, cases: DataFrame, least: int = 20, rate: float = 0.14) -> DataFrame:
     """doc_id, case_id, n_words, n_changed, doc_word of each leaked passage, once per pair.
 
-    ``docs``: doc_id, text; ``cases``: case_id, passage. Null or short passages
-    and null texts leak nothing. The held-out set is read in blocks of at most
-    BLOCK_WORDS words, so what is sent to the workers is bounded whatever its
-    size; the documents are never shuffled.
+    ``docs``: doc_id, text; ``cases``: case_id, passage. Null ids, null or short
+    passages and null texts leak nothing. Documents are scanned once; of
+    those with a possible hit the fingerprints and word hashes are kept, and
+    meet again by doc_id. What is broadcast is of fixed or checked size. ``least`` and ``rate`` for which
+    WINDOW could miss a stretch are refused.
     """
-    d = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
-    parts, block, words = [], [], 0
-    held = cases.where(F.col("passage").isNotNull() & F.col("case_id").isNotNull()).select("case_id", "passage").dropDuplicates().orderBy("case_id", "passage")
-    schema = "doc_id " + docs.schema["doc_id"].dataType.simpleString() + ", case_id string, n_words int, n_changed int, doc_word int"
-
-    def flush() -> None:
-        if block:
-            parts.append(d.mapInPandas(search(Passages.of(block), least, rate), schema))
-            block.clear()
-
-    for r in held.toLocalIterator():
-        n = r["passage"].count(" ") + 1
-        if words + n > BLOCK_WORDS:
-            flush()
-            words = 0
-        block.append((str(r["case_id"]), r["passage"]))
-        words += n
-    flush()
-    if not parts:
-        return docs.sparkSession.createDataFrame([], schema)
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    if surest_run(least, rate) < K + WINDOW - 1:
+        raise ValueError(f"stretches of {least} words with {rate} changes a word may have no {K + WINDOW - 1} equal words in a row")
+    spark = docs.sparkSession
+    d = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    held = cases.where(F.col("passage").isNotNull() & F.col("case_id").isNotNull()).select(F.col("case_id").cast("string").alias("case_id"), "passage").distinct()
+    # several passages under one case_id are kept apart
+    held = cut_lineage(held.select(F.concat_ws("\x1f", "case_id", F.md5("passage")).alias("case_id"), "passage"))
+    prints = cut_lineage(passage_prints(held))
+    size = held.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("passage")).alias("chars")).first()
+    small = prints.count() <= BROADCAST_PRINTS
+    met = cut_lineage(document_prints(d, key_bitmap(prints, "h")))
+    each = met.select("doc_id", "text_hash", F.explode(F.arrays_zip(F.col("places").alias("place"), F.col("hs").alias("h"))).alias("x")).select("doc_id", "text_hash", "x.place", "x.h")
+    hits = each.join(F.broadcast(prints) if small else prints, "h")
+    pairs = hits.groupBy("doc_id", "text_hash", "case_id").agg(F.collect_set(F.shiftleft(F.col("place").cast("long"), 32) + F.col("at")).alias("hits"))
+    shared = None
+    if (size["chars"] or 0) <= 2 * BROADCAST_WORDS:  # a word has two chars or more with its blank, a Han character one
+        shared = spark.sparkContext.broadcast({r["case_id"]: short_words(r["passage"]) for r in held.collect()})
+        pairs = pairs.withColumn("passage", F.lit(None).cast("string"))
+    else:
+        pairs = pairs.join(held, "case_id")
+    group = F.pmod(F.xxhash64("case_id"), F.lit(max(1, -(-size["n"] // CASES_A_ROW)))).alias("part")
+    per_doc = pairs.groupBy("doc_id", "text_hash", group).agg(F.collect_list(F.struct("case_id", "passage", "hits")).alias("found"))
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, case_id string, n_words int, n_changed int, doc_word int"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for doc_id, words, ids, texts, places in zip(*(pdf[c] for c in ("doc_id", "words", "case_id", "passage", "hits"))):
+                doc = np.frombuffer(words, np.uint32).tolist()
+                for case, text, at in zip(ids, texts, places):
+                    passage = shared.value[case] if shared is not None else short_words(text)
+                    n, changed, start = stretch(doc, passage, [(x >> 32, x & 0xFFFFFFFF) for x in np.asarray(at).tolist()], least, rate)
+                    if n:
+                        out.append((doc_id, case.split("\x1f")[0], n, changed, start))
+            yield pd.DataFrame(out, columns=["doc_id", "case_id", "n_words", "n_changed", "doc_word"])
+
+    found = met.select("doc_id", "text_hash", "words").dropDuplicates(["doc_id", "text_hash"]).join(per_doc, ["doc_id", "text_hash"]).select("doc_id", "words", *[F.col(f"found.{c}").alias(c) for c in ("case_id", "passage", "hits")]).mapInPandas(run, schema)
     return found.groupBy("doc_id", "case_id").agg(F.max(F.struct("n_words", F.negative("n_changed").alias("c"), "doc_word")).alias("b")).select("doc_id", "case_id", "b.n_words", F.negative("b.c").alias("n_changed"), "b.doc_word")
 
 
