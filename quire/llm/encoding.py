@@ -83,12 +83,12 @@ def _part_step(pair: tuple[str, str]) -> Callable[[str], str]:
 
 #: Swaps that are also tried on a part of the text.
 _PARTS = (("cp1251", "koi8_u"), ("cp1252", "cp1251"), ("cp1252", "koi8_u"))
-_UNICODE_ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
+_UNICODE_ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})")
 
 
 def _unescape(text: str) -> str:
     t = html.unescape(text) if "&" in text else text
-    return _UNICODE_ESCAPE.sub(lambda m: chr(int(m[1], 16)), t) if "\\u" in t else t
+    return _UNICODE_ESCAPE.sub(lambda m: chr(int(m[1] or m[2], 16)), t) if "\\" in t else t
 
 
 STEPS: dict[str, Callable[[str], str]] = {
@@ -130,69 +130,76 @@ def cost(text: str) -> float:
     return c
 
 
-def restore(text: str, expansions: int = 12) -> tuple[float, float, str, tuple[str, ...]]:
-    """(cost before, cost after, restored text, steps) by best-first search.
+#: A decoding step that undoes a wrong one takes away most of what that one made; lesser falls come by chance and would make the graph endless.
+LEAST_FALL = 0.6
 
-    The queue is ordered by cost plus a small charge per step, so of equally
-    plausible texts the one nearest to the input wins; a text of cost 0 ends
-    the search. Replacement characters cannot be restored and cost nothing here.
+
+def restore(text: str) -> tuple[float, float, str, tuple[str, ...]]:
+    """(cost removed, cost left, restored text, steps) by best-first search.
+
+    States are texts; an edge is a decoding step that lowers the cost to
+    LEAST_FALL of what it was, which bounds the graph whatever the text, or an
+    unescape step, which may raise it, since what it opens may be garbled. A
+    state is visited once. The queue is ordered by cost plus a small charge per
+    step and runs until it is empty or its first text has cost 0 and nothing to
+    open, so of equally plausible texts the one nearest to the input wins. What
+    the decoding steps of a path removed from the cost decides which text is
+    best. Replacement characters cannot be restored and cost nothing here.
     """
     first = cost(text.replace("�", ""))
-    best = (first, text, ())
-    queue: list[tuple[float, int, str, tuple[str, ...], float]] = [(first, 0, text, (), first)]
+    best = (0.0, first, text, ())
+    queue: list[tuple[float, int, str, tuple[str, ...], float, float]] = [(first, 0, text, (), first, 0.0)]
     seen = {hash(text)}
     pushed = 0
-    for _ in range(expansions):
-        if not queue or best[0] == 0:
-            break
-        _, _, state, steps, c = heapq.heappop(queue)
-        if len(steps) >= 4:
-            continue
-        for name, step in STEPS.items():
-            reached = step(state)
+    while queue:
+        _, _, state, steps, c, gone = heapq.heappop(queue)
+        for name in (STEPS if c > 0 else ("unescape",)):
+            reached = STEPS[name](state)
             h = hash(reached)
             if h in seen:
                 continue
             seen.add(h)
             r = cost(reached.replace("�", ""))
-            if r < best[0]:
-                best = (r, reached, (*steps, name))
-                if r == 0:
-                    break
-            if r < c:
-                pushed += 1
-                # valid UTF-8 hardly ever comes about by chance, a swap of single bytes always works
-                sure = 0.3 if all(x.startswith("utf8") for x in (*steps, name)) else 1.0
-                heapq.heappush(queue, (sure * r + 0.3 * (len(steps) + 1), pushed, reached, (*steps, name), r))
-    return first, best[0], best[1], best[2]
+            opened = name == "unescape"
+            if not opened and r > LEAST_FALL * c:
+                continue
+            path, removed = (*steps, name), gone if opened else gone + c - r
+            if removed > best[0]:
+                best = (removed, r, reached, path)
+            pushed += 1
+            # valid UTF-8 hardly ever comes about by chance, a swap of single bytes always works
+            sure = 0.3 if all(x.startswith("utf8") for x in path) else 1.0
+            heapq.heappush(queue, (sure * r + 0.3 * len(path), pushed, reached, path, r, removed))
+            if removed > 0 and r == 0 and _unescape(reached) == reached:
+                return removed, r, reached, path
+    return best
 
 
 def wrongly_decoded(text: str, least_gain: float = 1.0) -> tuple[bool, str | None, str, float, float]:
-    """(affected, restored text or null, steps, cost before, cost after) of one text.
+    """(affected, restored text or null, steps, cost removed, cost left) of one text.
 
-    A text is affected when the search reaches a text cheaper by ``least_gain``
-    through a decoding step, or when it holds replacement characters. It is
-    restored when the steps leave next to nothing implausible.
+    A text is affected when decoding steps remove ``least_gain`` and at least
+    half of the cost, or when it holds replacement characters. It is restored
+    when the steps leave next to nothing implausible.
     """
-    before, after, out, steps = restore(text)
+    removed, after, out, steps = restore(text)
     lost = "�" in text
-    decoded = any(s != "unescape" for s in steps)
-    gained = decoded and before - after >= least_gain and after <= 0.5 * before
+    gained = removed >= least_gain and after <= removed
     if not (gained or lost):
-        return False, None, "", before, after
-    whole = gained and not lost and after <= 0.1 * before
-    return True, out if whole else None, " ".join(steps), before, after
+        return False, None, "", removed, after
+    whole = gained and not lost and after <= removed / 9
+    return True, out if whole else None, " ".join(steps), removed, after
 
 
-#: Nothing else can be affected: a text needs a character that wrong decoding makes.
-SUSPECT = r"[^\x00-\x7F]"
-SCHEMA = "affected boolean, restored string, steps string, cost_before double, cost_after double"
+#: Nothing else can be affected: a text needs a character that wrong decoding makes, or an escape that may stand for one.
+SUSPECT = r"[^\x00-\x7F]|&(?:#\d{2,7}|#[xX][0-9a-fA-F]{2,6}|[A-Za-z]{2,8}\d{0,2});|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}"
+SCHEMA = "affected boolean, restored string, steps string, cost_removed double, cost_left double"
 
 
 def repaired(blocks: DataFrame, keep: tuple[str, ...] = ("block_id",)) -> DataFrame:
-    """The kept columns, and restored, steps, cost_before, cost_after of each affected text.
+    """The kept columns, and restored, steps, cost_removed, cost_left of each affected text.
 
-    Null, empty and plain ASCII texts are never affected. ``restored`` is null
+    Null and empty texts, and ASCII texts without escapes, are never affected. ``restored`` is null
     where characters were lost. Each row is judged alone: there is no shuffle.
     """
     names = [x.split()[0] for x in SCHEMA.split(", ")]
