@@ -32,11 +32,12 @@ FINISHED = r"[.!?。！？;:][\"'”“»’)\]]*\s*$"
 #: Chars of the end that the ending patterns look at; longer than any of them can match.
 _TAIL = 120
 _WORD_BATCH = 300_000
-#: A last line that so many different texts share, and one in so many of the texts without a finished end, is a closing formula, not a cut.
-#: The count is the least evidence for the rate; the rate keeps chance repeats from becoming formulas as the corpus grows.
-_FORMULA, _FORMULA_ONE_IN = 8, 1000
+#: A last line that, beyond doubt of chance (two standard deviations), one in so many of the texts without a finished end share is a closing formula, not a cut.
+_FORMULA_ONE_IN = 1000
 #: Rarer than one in so many words of the corpus: as good as never seen, whatever the size of the corpus.
 _RARE_ONE_IN = 400_000
+#: A word at least one in so many counts as a word that others may be the beginning of; no more than so many words can be.
+_KNOWN_ONE_IN = 500_000
 
 
 def source_name(source: Column) -> Column:
@@ -151,16 +152,16 @@ def endings(docs: DataFrame) -> DataFrame:
     return cols.where(~F.col("finished") | F.col("trace") | F.col("free_dots"))
 
 
-def truncated(docs: DataFrame, least: int = 30, end_rate: float = 0.02) -> DataFrame:
+def truncated(docs: DataFrame, end_rate: float = 0.02, surest_end_rate: float = 0.1) -> DataFrame:
     """doc_id, source, reason of every cut text, once per doc_id.
 
     ``reason``: ``limit`` (incomplete at a significant length), ``trace`` (a
     trace of the cut after an unfinished end), ``word`` (ends inside a word),
-    ``sentence`` (ends on a word that never ends anything, seen at least
-    ``least`` times with an end rate up to ``end_rate``). Words are judged by
-    rates, so more rows of the same kind clear no text but one whose last line turns
-    out to be a formula; ``least`` and _FORMULA are only the least evidence for a rate. Null and
-    blank texts are never cut; a null source has no limits of its own.
+    ``sentence`` (ends on a word that never ends anything: its end rate is at
+    most ``end_rate``, and at 95 % confidence at most ``surest_end_rate``). Words
+    and lines are judged by rates of the corpus and their confidence, never by
+    counts, so more rows of the same kind change no verdict but by making it
+    surer. Null and blank texts are never cut; a null source has no limits of its own.
     """
     sig = cut_lineage(unexplained_lengths(docs).select("source", "measure", "length"))
     e = cut_lineage(endings(docs))
@@ -168,16 +169,16 @@ def truncated(docs: DataFrame, least: int = 30, end_rate: float = 0.02) -> DataF
     e = salted_lookup(e, by("chars", "at_chars"), ["source", "chars"], "doc_id")
     e = salted_lookup(e, by("bytes", "at_bytes"), ["source", "bytes"], "doc_id")
     words = cut_lineage(word_ends(docs))
-    prefixes = words.where(F.col("n_mid") + F.col("n_end") >= least).select(F.explode(F.expr("transform(sequence(1, greatest(length(w) - 1, 1)), i -> substr(w, 1, i))")).alias("w"), (F.col("n_mid") + F.col("n_end")).alias("n")).groupBy("w").agg(F.sum("n").alias("n_longer"))
+    n_words = words.agg(F.sum(F.col("n_mid") + F.col("n_end"))).first()[0] or 0
+    prefixes = words.where((F.col("n_mid") + F.col("n_end")) * _KNOWN_ONE_IN >= n_words).select(F.explode(F.expr("transform(sequence(1, greatest(length(w) - 1, 1)), i -> substr(w, 1, i))")).alias("w"), (F.col("n_mid") + F.col("n_end")).alias("n")).groupBy("w").agg(F.sum("n").alias("n_longer"))
     tails = words.where(F.length("w") >= 4).groupBy(F.expr("right(w, 3)").alias("tail")).agg(F.sum(F.col("n_mid") + F.col("n_end")).alias("n_tail"))
-    total = words.agg(F.sum(F.col("n_mid") + F.col("n_end")).alias("n_words"))  # one row
     lines = e.groupBy("line").agg(F.count_distinct("text_hash").alias("n_line"))
     open_texts = lines.agg(F.sum("n_line").alias("n_open"))  # one row; a text has one last line
-    formulas = lines.where(F.col("n_line") >= _FORMULA).crossJoin(F.broadcast(open_texts)).where(F.col("n_line") * _FORMULA_ONE_IN >= F.col("n_open")).select("line", F.lit(True).alias("formula"))
+    formulas = lines.crossJoin(F.broadcast(open_texts)).where((F.col("n_line") - 2 * F.sqrt("n_line")) * _FORMULA_ONE_IN >= F.col("n_open")).select("line", F.lit(True).alias("formula"))
     e = salted_lookup(e, formulas, ["line"], "doc_id").na.fill(False, ["formula"])
     j = e.withColumn("w", F.lower("last")).withColumn("tail", F.expr("right(w, 3)"))
     j = salted_lookup(j, words.join(prefixes, "w", "full"), ["w"], "doc_id")
-    j = salted_lookup(j, tails, ["tail"], "doc_id").crossJoin(F.broadcast(total))
+    j = salted_lookup(j, tails, ["tail"], "doc_id").withColumn("n_words", F.lit(n_words))
     j = j.na.fill(0, ["n_mid", "n_end", "n_longer", "n_tail", "n_words"]).na.fill(False, ["at_chars", "at_bytes"])
     n = F.col("n_mid") + F.col("n_end")
     lower = F.col("last") == F.lower("last")
@@ -185,7 +186,7 @@ def truncated(docs: DataFrame, least: int = 30, end_rate: float = 0.02) -> DataF
     # rarer than a fiftieth of the words it begins: no word of its own; counts only against counts, so that size doesn't matter
     inside = (F.col("last") != "") & lower & (F.col("n_longer") > 0) & (n * 50 < F.col("n_longer"))
     odd_name = (F.col("last") != "") & ~lower & (n * _RARE_ONE_IN < F.col("n_words")) & (F.col("n_tail") * _RARE_ONE_IN < F.col("n_words")) & (F.length("last") < 6) & prose
-    open_word = (F.col("last") != "") & lower & prose & (n >= least) & (F.col("n_end") < F.lit(end_rate) * n)
+    open_word = (F.col("last") != "") & lower & prose & (F.col("n_end") < end_rate * n) & (F.col("n_end") + 3 <= surest_end_rate * n)  # 3: the 95 % bound of no event
     open_han = F.col("line").rlike(r"[。！？][^。！？;；]*\p{IsHan}$") & ~F.col("line").rlike(r"^\s*(?:[-*•☐☑|(]|\d+[.)])")
     limit = (F.col("at_chars") | F.col("at_bytes")) & ~F.col("finished")
     reason = (
