@@ -2,21 +2,32 @@
 
 A text of L chars gets n = ceil(L / S) pieces. The k-th cut is looked for in
 the ``slack`` chars that end at k * L / n, where S = limit - overlap - slack +
-1, so no cut depends on another: a giant file is cut by workers that each read
-a byte range with a halo, and no piece, with its overlap, exceeds the limit.
-Each cut takes the strongest boundary of its window, the last of equals.
+1, so no cut depends on another and no piece, with its overlap, exceeds the
+limit. Each cut takes the strongest boundary of its window, the last of equals.
+
+Texts are worked on by ranges: each range counts its chars, prefix sums give
+its place and the length of the whole, each range with a halo before it lists
+the cuts whose targets it holds, the lists are stitched to one boundary table,
+and pieces are emitted by offset. Rows of a table are cut into ranges of chars,
+files into ranges of bytes that are read one by one; both give the same pieces.
 """
 
 from __future__ import annotations
 
-import os
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.session import checkpoint_dir, cut_lineage
+
+#: Chars of a range of a row, bytes of a range of a file.
+RANGE_CHARS, RANGE_BYTES = 1 << 16, 8 << 20
+#: Limits are a configuration of a row per strategy; more are refused, not cut.
+MOST_STRATEGIES = 10_000
 #: Boundaries from strong to weak, as patterns both engines read alike: paragraph,
 #: end of sentence before a new line, end of sentence, end of line, clause, blank.
 _PARAGRAPH = r"\n[ \t]*\r?\n\s*"
@@ -71,7 +82,9 @@ def with_limits(chunks: DataFrame, limits: DataFrame, strategy: str = "chunk_str
     The limits have one row per strategy; of repeated rows the smallest limit
     holds. They become one literal map (a configuration, not data).
     """
-    rows = limits.where(F.col("chunk_strategy").isNotNull() & F.col("max_chars").isNotNull()).groupBy("chunk_strategy").agg(F.min(F.struct("max_chars", "overlap_chars")).alias("l")).limit(10_000).collect()
+    rows = limits.where(F.col("chunk_strategy").isNotNull() & F.col("max_chars").isNotNull()).groupBy("chunk_strategy").agg(F.min(F.struct("max_chars", "overlap_chars")).alias("l")).limit(MOST_STRATEGIES + 1).collect()
+    if len(rows) > MOST_STRATEGIES:
+        raise ValueError(f"more than {MOST_STRATEGIES} strategies with a limit")
     if not rows:
         raise ValueError("no limits given")
     by = {r["chunk_strategy"]: (r["l"]["max_chars"], r["l"]["overlap_chars"] or 0) for r in rows}
@@ -80,101 +93,177 @@ def with_limits(chunks: DataFrame, limits: DataFrame, strategy: str = "chunk_str
     return chunks.withColumn("max_chars", pick(0)).withColumn("overlap_chars", pick(1))
 
 
+def text_ranges(texts: DataFrame, key: str) -> DataFrame:
+    """Texts (key, text, _rows, _m, _o, _s, _step) by ranges: key, those settings, first, n, total, zero, buf.
+
+    A range owns ``n`` chars from ``first``; ``buf`` begins at char ``zero``, as far before
+    it as a window and an overlap reach. ``first`` and ``total`` are prefix sums of ``n``.
+    """
+    size = F.greatest(F.lit(RANGE_CHARS), F.col("_m"))
+    r = texts.withColumn("_len", F.length("text")).withColumn("_size", size).withColumn("range_no", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("_len") / F.col("_size")) - 1, F.lit(0)).cast("int"))))
+    begin = F.col("range_no") * F.col("_size")
+    zero = F.greatest(begin - F.col("_m"), F.lit(0))
+    r = r.withColumn("zero", zero).select(key, "_rows", "_m", "_o", "_s", "_step", "range_no", F.least(F.col("_size"), F.col("_len") - begin).alias("n"), "zero", F.substring(F.col("text"), F.col("zero") + 1, begin + F.col("_size") - F.col("zero")).alias("buf"))
+    by = Window.partitionBy(key)
+    return r.withColumn("first", F.sum("n").over(by.orderBy("range_no")) - F.col("n")).withColumn("total", F.sum("n").over(by)).drop("range_no")
+
+
+def boundary_table(ranges: DataFrame, key: str) -> DataFrame:
+    """key, piece_no, n_pieces, cut, start: where each piece begins, without and with its overlap, listed by the range that holds its target."""
+    n = F.when(F.col("total") <= F.col("_m"), 1).otherwise(F.ceil(F.col("total") / F.col("_step"))).cast("long")
+    r = ranges.withColumn("n_pieces", n)
+    target = lambda k: F.ceil(k * F.col("total") / F.col("n_pieces")).cast("long")
+    low = F.greatest(F.floor(F.col("first") * F.col("n_pieces") / F.greatest("total", F.lit(1))) - 1, F.lit(0))
+    high = F.least(F.ceil((F.col("first") + F.col("n")) * F.col("n_pieces") / F.greatest("total", F.lit(1))) + 1, F.col("n_pieces") - 1)
+    r = r.withColumn("piece_no", F.explode(F.sequence(low.cast("long"), F.greatest(high, low).cast("long")))).withColumn("t", target(F.col("piece_no")))
+    r = r.where((F.col("piece_no") < F.col("n_pieces")) & (F.col("t") >= F.col("first")) & ((F.col("t") < F.col("first") + F.col("n")) | (F.col("total") == 0)))
+    window = F.substring(F.col("buf"), (F.col("t") - F.col("_s") - F.col("zero") + 1).cast("int"), F.col("_s"))
+    cut = F.when(F.col("piece_no") == 0, 0).otherwise(F.col("t") - F.col("_s") + cut_in_window(window, F.col("_rows"))).cast("int")
+    b = r.select(key, F.col("piece_no").cast("int").alias("piece_no"), F.col("n_pieces").cast("int").alias("n_pieces"), "_o", cut.alias("cut"))
+    return b.select(key, "piece_no", "n_pieces", "cut", F.when(F.col("piece_no") == 0, 0).otherwise(F.col("cut") - F.col("_o")).alias("start"))
+
+
+def settled(chunks: DataFrame, limits: DataFrame, key: str, keep: tuple[str, ...]) -> DataFrame:
+    """One row per key with a text: key, kept columns, text and the settings of its plan."""
+    c = with_limits(chunks.where(F.col("text").isNotNull()), limits)
+    m, o, s, step = plan_columns(F.col("max_chars"), F.col("overlap_chars"))
+    return c.select(F.col(key), *keep, "text", F.coalesce(F.col("chunk_strategy").isin(*ROW_STRATEGIES), F.lit(False)).alias("_rows"), m.alias("_m"), o.alias("_o"), s.alias("_s"), step.alias("_step")).dropDuplicates([key])
+
+
 def split_pieces(chunks: DataFrame, limits: DataFrame, key: str = "chunk_id", keep: tuple[str, ...] = ("section_id", "page_start")) -> DataFrame:
     """Pieces of every chunk: key, kept columns, piece_no, n_pieces, start, piece_chars, piece_text.
 
     Each piece but the first begins ``overlap`` chars before its cut. Null texts
     give no piece, an empty text one empty piece; chunks written twice give
-    their pieces once. There is no shuffle but for removing those rewrites.
+    their pieces once. Texts are shuffled once, by key; ranges, sums, stitching
+    and emission stay in that partitioning.
     """
-    c = with_limits(chunks.where(F.col("text").isNotNull()), limits)
-    m, o, s, step = plan_columns(F.col("max_chars"), F.col("overlap_chars"))
-    c = c.select(F.col(key), *keep, "text", F.coalesce(F.col("chunk_strategy").isin(*ROW_STRATEGIES), F.lit(False)).alias("_rows"), m.alias("_m"), o.alias("_o"), s.alias("_s"), step.alias("_step"), F.length("text").alias("_len"))
-    c = c.withColumn("_n", F.when(F.col("_len") <= F.col("_m"), 1).otherwise(F.ceil(F.col("_len") / F.col("_step")).cast("int")))
-    target = lambda k: F.ceil(k * F.col("_len") / F.col("_n")).cast("int")
-    small = c.where("_n = 1").select(key, *keep, F.lit(0).alias("piece_no"), F.lit(1).alias("n_pieces"), F.lit(0).alias("start"), F.col("text").alias("piece_text"))
-    large = c.where("_n > 1")
-    cut = lambda k: target(k) - F.col("_s") + cut_in_window(F.substring(F.col("text"), target(k) - F.col("_s") + 1, F.col("_s")), F.col("_rows"))
-    large = large.withColumn("_cuts", F.transform(F.sequence(F.lit(1), F.col("_n") - 1), cut))
-    large = large.withColumn("_cuts", F.concat(F.array(F.lit(0)), F.col("_cuts"), F.array(F.col("_len"))))
-    k = F.posexplode(F.slice("_cuts", 1, F.col("_n"))).alias("piece_no", "_cut")
-    pieces = large.select(key, *keep, "text", "_o", "_n", "_cuts", k)
-    start = F.when(F.col("piece_no") == 0, 0).otherwise(F.col("_cut") - F.col("_o"))
-    end = F.element_at("_cuts", F.col("piece_no") + 2)
-    pieces = pieces.select(key, *keep, "piece_no", F.col("_n").alias("n_pieces"), start.alias("start"), F.substring(F.col("text"), start + 1, end - start).alias("piece_text"))
-    both = small.unionByName(pieces).withColumn("piece_chars", F.length("piece_text"))
-    return both.dropDuplicates([key, "piece_no"])
+    c = settled(chunks, limits, key, keep)
+    b = boundary_table(text_ranges(c, key), key)
+    end = F.lead("cut").over(Window.partitionBy(key).orderBy("piece_no"))  # a text's pieces are few
+    p = b.withColumn("end", end).join(c.select(key, *keep, "text"), key)
+    text = F.substring(F.col("text"), F.col("start") + 1, F.coalesce("end", F.length("text")) - F.col("start"))
+    return p.select(key, *keep, "piece_no", "n_pieces", "start", text.alias("piece_text")).withColumn("piece_chars", F.length("piece_text"))
 
 
 def oversized(chunks: DataFrame, limits: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """The keys that the splitter cuts into more than one piece, once each."""
-    return split_pieces(chunks, limits, key, ()).where("n_pieces > 1").select(key).distinct()
+    """The keys that the splitter's boundary table cuts into more than one piece, once each."""
+    return boundary_table(text_ranges(settled(chunks, limits, key, ()), key), key).where("n_pieces > 1").select(key).distinct()
 
 
 # --- giant files, by byte ranges ---------------------------------------------
 
 
+def _opened(uri: str):
+    """(file system, path) of a URI or an absolute path, for any store that pyarrow reaches."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
+def _read(uri: str, a: int, b: int) -> bytes:
+    system, path = _opened(uri)
+    with system.open_input_file(path) as f:
+        return f.read_at(max(0, b - a), a)
+
+
 def _chars(data: bytes) -> int:
-    return sum((b & 0xC0) != 0x80 for b in data)
+    return len(data) - sum(map(data.count, _CONTINUED))
+
 
+_CONTINUED = [bytes([x]) for x in range(0x80, 0xC0)]
 
-def split_files(spark: SparkSession, paths: list[str], limit: int, overlap: int, rows: bool = False, range_bytes: int = 8 << 20) -> DataFrame:
-    """path, piece_no, n_pieces, start, piece_text of UTF-8 files in a folder that all executors share.
 
-    No task holds more than a range and its halo. First each range counts its
-    chars; prefix sums over the ranges give each range's first char; then each
-    range cuts at the targets that fall into it and emits their pieces by
-    offset, reading on past its end as far as one piece reaches. A file that
-    fits the limit is one piece; an empty file gives one empty piece.
+def split_files(spark: SparkSession, files: list[tuple[str, int, int, bool]], range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """path, piece_no, n_pieces, start, piece_text of UTF-8 ``files`` (path or URI, limit, overlap, rows) that all executors reach.
+
+    No task holds more than a range and its halo. Each range counts its chars;
+    prefix sums place it; it lists its cuts with their chars and bytes; the
+    lists are stitched by joining each cut to the next, and each piece is read
+    by its bytes. A file that fits the limit is one piece; an empty file gives
+    one empty piece.
     """
-    sizes = [(p, i, a, min(a + range_bytes, n)) for p in paths for n in [os.path.getsize(p)] for i, a in enumerate(range(0, max(n, 1), range_bytes))]
-    ranges = spark.createDataFrame(sizes, "path string, range_no int, a long, b long").repartition(max(1, len(sizes)), "path", "range_no")
+    rows = []
+    for uri, limit, overlap, lines in files:
+        system, path = _opened(uri)
+        size = system.get_file_info(path).size
+        rows += [(uri, limit, overlap, lines, i, a, min(a + range_bytes, size), size) for i, a in enumerate(range(0, max(size, 1), range_bytes))]
+    columns = "path string, lim int, overlap int, by_rows boolean, range_no int, a long, b long, size long"
+    ranges = spark.createDataFrame(rows, columns).repartition(max(1, len(rows)), "path", "range_no")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            n = []
-            for p, a, b in zip(pdf["path"], pdf["a"], pdf["b"]):
-                with open(p, "rb") as f:
-                    f.seek(a)
-                    n.append(_chars(f.read(b - a)))
-            yield pdf.assign(n=n)
-
-    counted = ranges.mapInPandas(count, "path string, range_no int, a long, b long, n long")
-    w = Window.partitionBy("path").orderBy("range_no")
-    placed = counted.withColumn("first", F.sum("n").over(w) - F.col("n")).withColumn("total", F.sum("n").over(Window.partitionBy("path")))
-    _, slack, over = plan(1, limit, overlap)
-    reach = 4 * (2 * limit + over + slack)
+            yield pdf.assign(n=[_chars(_read(p, a, b)) for p, a, b in zip(pdf["path"], pdf["a"], pdf["b"])])
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    w = Window.partitionBy("path")  # a row per range of a file
+    placed = cut_lineage(ranges.mapInPandas(count, columns + ", n long")).withColumn("first", F.sum("n").over(w.orderBy("range_no")) - F.col("n")).withColumn("total", F.sum("n").over(w))
+
+    def cuts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            out = []
             for r in pdf.itertuples():
-                n = plan(int(r.total), limit, overlap)[0]
-                at = max(0, r.a - reach)
-                with open(r.path, "rb") as f:
-                    f.seek(at)
-                    data = f.read(r.b - at + reach)
+                total, first = int(r.total), int(r.first)
+                n, slack, over = plan(total, r.lim, r.overlap)
+                at = max(0, int(r.a) - 4 * (slack + over))
+                data = _read(r.path, at, int(r.b))
                 skip = next((i for i in range(min(4, len(data))) if (data[i] & 0xC0) != 0x80), 0) if at else 0
                 text = data[skip:].decode("utf-8", "ignore")
-                zero = int(r.first) - _chars(data[skip : r.a - at])  # the file's char that text begins with
+                zero = first - _chars(data[skip : int(r.a) - at])  # the file's char that text begins with
+                place, byte = 0, at + skip  # chars and bytes passed so far
 
-                def cut(k: int) -> int:
-                    if k <= 0 or k >= n:
-                        return 0 if k <= 0 else int(r.total)
-                    t = -(-k * int(r.total) // n)
-                    lo = t - slack - zero
-                    return t - slack + cut_in_text(text[lo : lo + slack], rows)
+                def byte_of(char: int) -> int:
+                    nonlocal place, byte
+                    byte += len(text[place : char - zero].encode()) if char - zero >= place else -len(text[char - zero : place].encode())
+                    place = char - zero
+                    return byte
 
-                k = max(0, int(r.first) * n // max(1, int(r.total)) - 1)
-                out = []
+                k = max(0, first * n // max(1, total) - 1)
                 while k < n:
-                    t = -(-k * int(r.total) // n)
-                    if t >= r.first + r.n and not (k == 0 and r.first == 0):
+                    t = -(-k * total // n)
+                    if t >= first + r.n and not (k == 0 and first == 0):
                         break
-                    if t >= r.first:
-                        a = cut(k)
-                        start = a - over if k else 0
-                        out.append((r.path, k, n, start, text[start - zero : cut(k + 1) - zero]))
+                    if t >= first:
+                        lo = t - slack - zero
+                        cut = t - slack + cut_in_text(text[lo : lo + slack], r.by_rows) if k else 0
+                        start = cut - over if k else 0
+                        out.append((r.path, k, n, int(r.size), start, byte_of(start), byte_of(cut)))
                     k += 1
-                yield pd.DataFrame(out, columns=["path", "piece_no", "n_pieces", "start", "piece_text"])
+            yield pd.DataFrame(out, columns=["path", "piece_no", "n_pieces", "size", "start", "start_byte", "cut_byte"])
+
+    table = cut_lineage(placed.mapInPandas(cuts, "path string, piece_no long, n_pieces long, size long, start long, start_byte long, cut_byte long"))
+    after = table.select("path", (F.col("piece_no") - 1).alias("piece_no"), F.col("cut_byte").alias("end_byte"))
+    pieces = table.join(after, ["path", "piece_no"], "left").withColumn("end_byte", F.coalesce("end_byte", "size")).repartitionByRange("path", "piece_no").sortWithinPartitions("path", "piece_no")
 
-    return placed.mapInPandas(emit, "path string, piece_no int, n_pieces int, start long, piece_text string")
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = []
+            for path, g in pdf.groupby("path", sort=False):
+                lo, held = 0, b""
+                for a, b in zip(g["start_byte"], g["end_byte"]):
+                    if a < lo or b > lo + len(held):  # read on in steps of a range
+                        lo, held = int(a), _read(path, int(a), max(int(b), min(int(a) + range_bytes, int(g["end_byte"].max()))))
+                    texts.append(held[int(a) - lo : int(b) - lo].decode("utf-8", "replace"))
+            yield pdf[["path", "piece_no", "n_pieces", "start"]].assign(piece_text=texts)
+
+    return pieces.mapInPandas(emit, "path string, piece_no long, n_pieces long, start long, piece_text string")
+
+
+def split_written(chunks: DataFrame, limits: DataFrame) -> DataFrame:
+    """strategy, path, piece_no, n_pieces, start, piece_text: chunk texts written as files to the shared folder, a text a line, and split there.
+
+    Shows the splitter of files on the texts of a table; the files are removed when the pieces are kept.
+    """
+    spark = chunks.sparkSession
+    strategy = F.coalesce("chunk_strategy", F.lit("default"))
+    texts = with_limits(chunks.where(F.col("text").isNotNull()).dropDuplicates(["chunk_id"]), limits).select(strategy.alias("strategy"), "text")
+    folder = re.sub("^(?:file:)?/+", "file:///", checkpoint_dir(spark)) + f"/split-{uuid.uuid4().hex}"
+    texts.write.partitionBy("strategy").text(folder)
+    system, root = _opened(folder)
+    from pyarrow import fs
+
+    by = {r["strategy"]: (r["max_chars"], r["overlap_chars"]) for r in with_limits(texts.select("strategy").distinct(), limits, "strategy").collect()}
+    at = [(x.path, re.search(r"strategy=([^/]+)/", x.path)[1]) for x in system.get_file_info(fs.FileSelector(root, recursive=True)) if x.is_file and x.path.endswith(".txt")]
+    pieces = split_files(spark, [(folder + p[len(root) :], *by[s], s in ROW_STRATEGIES) for p, s in at])
+    kept = cut_lineage(pieces.select(F.regexp_extract("path", "strategy=([^/]+)/", 1).alias("strategy"), "*"))
+    system.delete_dir(root)
+    return kept
