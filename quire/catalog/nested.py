@@ -38,8 +38,8 @@ def p3_found(spark, sf):
 
 @query("p3_runs", _OUTPUTS + " select distinct run_id::varchar || '#' || result_pos as run_key, run_id, result_pos, json_extract_string(r, '$.query') as query, json_extract_string(r, '$.query_intent') as query_intent from results where r is null or json_type(r) in ('OBJECT', 'NULL')")
 def p3_runs(spark, sf):
-    rows = nested.shredded(table(spark, sf, "answer_runs"), "run_id", "payload", ["run"], nested.DECODE, nested.SPLIT)
-    return rows.select(F.col("row_key").alias("run_key"), F.col("parent_key").cast("bigint").alias("run_id"), F.col("ordinal").alias("result_pos"), F.expr("cols['result.query']").alias("query"), F.expr("cols['result.query_intent']").alias("query_intent")).distinct()
+    rows = nested.answer_table(table(spark, sf, "answer_runs"), "run", ("result.query", "result.query_intent"))
+    return rows.select(F.col("row_key").alias("run_key"), F.col("parent_key").cast("bigint").alias("run_id"), F.col("ordinal").alias("result_pos"), F.col("`result.query`").alias("query"), F.col("`result.query_intent`").alias("query_intent"))
 
 
 @query("p3_evidence", _OUTPUTS + r""",
@@ -49,8 +49,8 @@ select distinct run_id::varchar || '#' || result_pos || '/result.evidence[' || (
 from held, unnest(range(1, json_array_length(h)::bigint + 1)) u(i) where json_type(h) = 'ARRAY' and json_type(json_extract(h, '$[' || (u.i - 1) || ']')) = 'OBJECT'
 """)
 def p3_evidence(spark, sf):
-    rows = nested.shredded(table(spark, sf, "answer_runs"), "run_id", "payload", ["run.result.evidence"], nested.DECODE, nested.SPLIT)
-    return rows.select("row_key", F.col("parent_key").alias("run_key"), F.col("ordinal").alias("evidence_pos"), F.expr("cols['chunk_id']").alias("chunk_id"), F.expr("cols['sentence']").alias("sentence")).distinct()
+    rows = nested.answer_table(table(spark, sf, "answer_runs"), "run.result.evidence", ("chunk_id", "sentence"))
+    return rows.select("row_key", F.col("parent_key").alias("run_key"), F.col("ordinal").alias("evidence_pos"), "chunk_id", "sentence")
 
 
 @query("p3_children")
@@ -63,5 +63,5 @@ def p3_children(spark, sf):
 @query("p3_schema")
 def p3_schema(spark, sf):
     """The merged schema of all payloads: one row per table and column."""
-    schema = nested.merged_schema(table(spark, sf, "answer_runs"), "run_id", "payload", nested.DECODE, nested.SPLIT)
+    schema = nested.merged_schema(nested.shredded(table(spark, sf, "answer_runs"), "run_id", "payload", None, nested.DECODE, nested.SPLIT))
     return spark.createDataFrame([(t, c, k) for t, cols in schema.items() for c, k in cols.items()], "table_name string, column_name string, sql_type string")

@@ -57,8 +57,7 @@ def d7(spark, sf):
 
 
 def _pairs(spark, sf):
-    rows = nested.shredded(table(spark, sf, "answer_runs"), "run_id", "payload", ["run.result.answer_trace.matched_doc_ids"], nested.DECODE, nested.SPLIT)
-    return semantics.matched_pairs(rows.select("parent_key", F.expr("cols['value']").alias("value")))
+    return semantics.matched_pairs(nested.answer_table(table(spark, sf, "answer_runs"), "run.result.answer_trace.matched_doc_ids", ("value",)).select("parent_key", "value"))
 
 
 @query("d9_relations")

@@ -124,9 +124,9 @@ def a5(spark, sf):
 def _claims(spark, sf):
     from quire.functions import text as T
 
-    runs = nested.shredded(table(spark, sf, "answer_runs"), "run_id", "payload", ["run", "run.result.evidence"], nested.DECODE, nested.SPLIT)
-    c = runs.where("`table` = 'run'").select(F.col("row_key").alias("run_key"), F.posexplode(T.sentences(F.expr("cols['result.answer']"))).alias("claim_no", "claim")).distinct()
-    f = runs.where("`table` <> 'run'").select(F.col("parent_key").alias("run_key"), F.expr("cols['sentence']").alias("fragment")).where("fragment is not null").distinct()
+    runs = table(spark, sf, "answer_runs")
+    c = nested.answer_table(runs, "run", ("result.answer",)).select(F.col("row_key").alias("run_key"), F.posexplode(T.sentences(F.col("`result.answer`"))).alias("claim_no", "claim")).distinct()
+    f = nested.answer_table(runs, "run.result.evidence", ("sentence",)).select(F.col("parent_key").alias("run_key"), F.col("sentence").alias("fragment")).where("fragment is not null").distinct()
     return answers.aligned(c, f, "run_key")
 
 
@@ -164,8 +164,8 @@ _REL = _RH + ", hd as (select run_id::varchar || '#' || result_pos run_key, json
   select coalesce(g.run_key, nr.run_key) run_key, coalesce(case when n > 0 then round(hit / n, 6) end, 0.0)::double as "precision", coalesce(case when n_rel > 0 then round(hit / n_rel, 6) end, 0.0)::double recall, coalesce(round(1.0 / f, 6), 0.0)::double reciprocal_rank from g full join nr on g.run_key = nr.run_key""")
 def m1(spark, sf):
     hits = _run_hits(spark, sf).select("run_key", F.col("chunk_id").alias("item"), (F.col("hit_pos") + 1).alias("rank"))
-    ev = nested.shredded(table(spark, sf, "answer_runs"), "run_id", "payload", ["run.result.evidence"], nested.DECODE, nested.SPLIT)
-    rel = ev.select(F.col("parent_key").alias("run_key"), F.expr("cols['chunk_id']").alias("item")).where("item is not null")
+    ev = nested.answer_table(table(spark, sf, "answer_runs"), "run.result.evidence", ("chunk_id",))
+    rel = ev.select(F.col("parent_key").alias("run_key"), F.col("chunk_id").alias("item")).where("item is not null")
     return metrics.ranking_metrics(hits, rel, "run_key")
 
 

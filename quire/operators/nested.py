@@ -1,9 +1,9 @@
 """Nested JSON payloads as related flat tables.
 
-Two passes over the payloads. The first lists each (table, column, type) that
-occurs and merges the types; the second shreds every array level into a child
-table whose rows carry their own key, the parent's key and their place in the
-array. Objects inside a row become dotted columns.
+One pass over the payloads shreds every array level into rows of a child table
+that carry their own key, the parent's key and their place in the array; objects
+inside a row become dotted columns. From the kept rows the merged schema lists
+each (table, column, type) that occurs, and the tables are typed by it.
 """
 
 from __future__ import annotations
@@ -15,7 +15,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import cut_lineage
+
 ROW_SCHEMA = "`table` string, row_key string, parent_key string, ordinal int, cols map<string,string>"
+#: Columns over all tables that a schema may have.
+MOST_COLUMNS = 10_000
 LINKS = ("row_key", "parent_key", "ordinal")
 _SPACE = "﻿ \t\r\n ​\x00"
 _SQL = {"b": "boolean", "i": "bigint", "d": "double", "s": "string"}
@@ -35,30 +39,40 @@ def parse_complete(text: object) -> object:
         return None
 
 
-def outputs(value: object, depth: int = 0) -> Iterator[tuple[int, dict]]:
+def _slots(value: object) -> list[dict | None]:
+    """The outputs of a payload in order; an element of a list that holds none keeps its place as None."""
+    if isinstance(value, str):
+        inner = parse_complete(value)
+        return _slots(inner) if isinstance(inner, (dict, list, str)) else [None]
+    if isinstance(value, list):
+        return [s for x in value for s in (_slots(x) if isinstance(x, (dict, list, str)) else [None])]
+    if not isinstance(value, dict):
+        return [None]
+    if "result" in value:
+        return [value]
+    inside = []
+    for x in value.values():
+        if isinstance(x, (dict, list)) or (isinstance(x, str) and x.lstrip(_SPACE)[:1] in ("{", "[", '"')):
+            found = _slots(x)
+            if any(s is not None for s in found):
+                inside += found
+    if inside:
+        return inside
+    return [value if "error" in value or "command" in value else None]
+
+
+def outputs(value: object) -> Iterator[tuple[int, dict]]:
     """The command outputs in a payload with their places in it.
 
     A payload may be one output, a list of outputs, either of them as a JSON
-    string, or an object that wraps one of these. An output is an object with a
-    ``result`` or ``error``; what lies inside it is never searched.
+    string, or an object that wraps these at any depth, plainly or as JSON
+    strings. An output is an object with a ``result``, or one with ``error`` or
+    ``command`` that wraps no output; what lies inside it is never searched.
+    Places count over the whole payload, list elements without an output included.
     """
-    if depth > 6:
-        return
-    if isinstance(value, str):
-        inner = parse_complete(value)
-        if isinstance(inner, (dict, list, str)):
-            yield from outputs(inner, depth + 1)
-    elif isinstance(value, list):
-        for i, x in enumerate(value):
-            for _, out in outputs(x, depth + 1):
-                yield i, out
-    elif isinstance(value, dict):
-        if "result" in value or "error" in value or "command" in value:
-            yield 0, value
-        else:
-            for x in value.values():
-                if isinstance(x, (dict, list)):
-                    yield from outputs(x, depth + 1)
+    for i, out in enumerate(_slots(value)):
+        if out is not None:
+            yield i, out
 
 
 def _scalar(value: object) -> tuple[str, str]:
@@ -110,61 +124,67 @@ def _payload_rows(pdf: pd.DataFrame, decode: frozenset[str], split: frozenset[st
     for k, text in zip(pdf["_k"], pdf["_p"]):
         value = parse_complete(text)
         if isinstance(value, (dict, list, str)):
-            for pos, out in outputs(value):
-                yield from shred(out, "run", f"{k}#{pos}", None if k is None else str(k), pos, decode, split)
+            try:
+                rows = [r for pos, out in outputs(value) for r in shred(out, "run", f"{k}#{pos}", None if k is None else str(k), pos, decode, split)]
+            except RecursionError:  # nested by hundreds of levels: unreadable, as for the parser
+                continue
+            yield from rows
 
 
 def _frame(df: DataFrame, key: str, payload: str) -> DataFrame:
     return df.where(F.col(payload).isNotNull()).select(F.col(key).cast("string").alias("_k"), F.col(payload).alias("_p"))
 
 
-def merged_schema(df: DataFrame, key: str, payload: str, decode: Iterable[str] = (), split: Iterable[str] = ()) -> dict[str, dict[str, str]]:
-    """Table -> column -> SQL type over all payloads; long and double merge to double, other mixtures to string."""
-    dec, spl = frozenset(decode), frozenset(split)
-
-    def kinds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[tuple[str, str, str]] = set()
-        for pdf in batches:
-            for t, _, _, _, cols in _payload_rows(pdf, dec, spl):
-                seen.update((t, c, kind) for c, (kind, _) in cols.items())
-        yield pd.DataFrame(sorted(seen), columns=["t", "c", "k"])
-
-    found = _frame(df, key, payload).mapInPandas(kinds, "t string, c string, k string").groupBy("t", "c").agg(F.collect_set("k").alias("ks")).collect()
-    schema: dict[str, dict[str, str]] = {}
-    for r in sorted(found, key=lambda r: (r["t"], r["c"])):
-        ks = set(r["ks"])
-        kind = ks.pop() if len(ks) == 1 else ("d" if ks == {"i", "d"} else "s")
-        schema.setdefault(r["t"], {})[r["c"]] = _SQL[kind]
-    return schema
-
-
 def shredded(df: DataFrame, key: str, payload: str, tables: Iterable[str] | None = None, decode: Iterable[str] = (), split: Iterable[str] = ()) -> DataFrame:
-    """All rows of all (or the named) tables in one frame with untyped columns; no shuffle."""
+    """All rows of all (or the named) tables in one frame; no shuffle.
+
+    ``cols`` holds each value as text after one letter for its JSON type (b, i, d, s).
+    """
     dec, spl, want = frozenset(decode), frozenset(split), None if tables is None else frozenset(tables)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(t, k, p, o, {c: v for c, (_, v) in cols.items()}) for t, k, p, o, cols in _payload_rows(pdf, dec, spl) if want is None or t in want]
+            out = [(t, k, p, o, {c: kind + v for c, (kind, v) in cols.items()}) for t, k, p, o, cols in _payload_rows(pdf, dec, spl) if want is None or t in want]
             yield pd.DataFrame(out, columns=["table", "row_key", "parent_key", "ordinal", "cols"])
 
     return _frame(df, key, payload).mapInPandas(rows, ROW_SCHEMA)
 
 
+def merged_schema(rows: DataFrame) -> dict[str, dict[str, str]]:
+    """Table -> column -> SQL type over all shredded rows; long and double merge to double, other mixtures to string.
+
+    A schema has to fit a plan, so more than MOST_COLUMNS columns (ids used as field names, say) are refused.
+    """
+    cols = rows.select("table", F.explode_outer("cols").alias("c", "v")).select("table", "c", F.left("v", F.lit(1)).alias("k"))
+    found = cols.groupBy("table", "c").agg(F.collect_set("k").alias("ks")).limit(MOST_COLUMNS + 1).collect()
+    if len(found) > MOST_COLUMNS:
+        raise ValueError(f"more than {MOST_COLUMNS} columns")
+    schema: dict[str, dict[str, str]] = {}
+    for r in sorted(found, key=lambda r: (r["table"], r["c"] or "")):
+        ks = set(r["ks"])
+        table = schema.setdefault(r["table"], {})
+        if r["c"] is not None:
+            table[r["c"]] = _SQL[ks.pop() if len(ks) == 1 else ("d" if ks == {"i", "d"} else "s")]
+    return schema
+
+
 def flat_table(rows: DataFrame, table: str, columns: dict[str, str]) -> DataFrame:
     """One table with typed columns. A JSON field named like a link column gets the prefix ``json_``."""
-    picked = [F.expr(f"try_cast(element_at(cols, '{c.replace(chr(39), chr(92) + chr(39))}') as {t})").alias(f"json_{c}" if c in LINKS else c) for c, t in columns.items()]
+    quoted = lambda c: c.replace("\\", "\\\\").replace("'", "\\'")
+    picked = [F.expr(f"try_cast(substr(try_element_at(cols, '{quoted(c)}'), 2) as {t})").alias(f"json_{c}" if c in LINKS else c) for c, t in columns.items()]
     return rows.where(F.col("table") == table).select(*LINKS, *picked)
 
 
-def flat_tables(df: DataFrame, key: str, payload: str, decode: Iterable[str] = (), split: Iterable[str] = ()) -> dict[str, DataFrame]:
-    """Every table of the payloads by name, typed by the merged schema.
+def flat_tables(df: DataFrame, key: str, payload: str, decode: Iterable[str] = (), split: Iterable[str] = (), tables: Iterable[str] | None = None) -> dict[str, DataFrame]:
+    """Every (or each named) table of the payloads by name, typed by the merged schema.
 
+    Payloads are parsed and shredded once; the rows are kept in the shared
+    checkpoint folder, and both the schema and the tables are read from there.
     Null and unreadable payloads give no rows; a payload received twice gives
     each row once; other columns of ``df`` are not read.
     """
-    once = df.select(key, payload).dropDuplicates()
-    schema = merged_schema(once, key, payload, decode, split)
-    return {t: flat_table(shredded(once, key, payload, [t], decode, split), t, cols) for t, cols in schema.items()}
+    rows = cut_lineage(shredded(df.select(key, payload).dropDuplicates(), key, payload, tables, decode, split))
+    return {t: flat_table(rows, t, cols) for t, cols in merged_schema(rows).items()}
 
 
 #: Where answer payloads hold hits, and what may be written as a JSON string there.
@@ -173,18 +193,25 @@ DECODE = ("run.result", "run.result.top_k_hits")
 SPLIT = ("run.result.top_k_hits",)
 
 
-def answer_tables(runs: DataFrame) -> dict[str, DataFrame]:
+def answer_tables(runs: DataFrame, tables: Iterable[str] | None = None) -> dict[str, DataFrame]:
     """Flat tables of ``answer_runs`` (run_id, payload): runs, hits and all deeper children."""
-    return flat_tables(runs, "run_id", "payload", DECODE, SPLIT)
+    return flat_tables(runs, "run_id", "payload", DECODE, SPLIT, tables)
+
+
+def answer_table(runs: DataFrame, name: str, columns: tuple[str, ...]) -> DataFrame:
+    """The link columns and the named columns, as strings, of one answer table; null where no payload has the column, empty without rows."""
+    found = answer_tables(runs, [name]).get(name)
+    if found is None:
+        return runs.sparkSession.createDataFrame([], "row_key string, parent_key string, ordinal int, " + ", ".join(f"`{c}` string" for c in columns))
+    return found.select(*LINKS, *[(F.col(f"`{c}`").cast("string") if c in found.columns else F.lit(None).cast("string")).alias(c) for c in columns])
 
 
 def answer_hits(runs: DataFrame) -> DataFrame:
     """run_id, result_pos, hit_pos, chunk_id, doc_id of each hit with a chunk_id, once per run."""
-    rows = shredded(runs, "run_id", "payload", [HITS], DECODE, SPLIT).where(F.expr("cols['chunk_id'] is not null"))
-    return rows.select(
+    return answer_table(runs, HITS, ("chunk_id", "doc_id")).where("chunk_id is not null").select(
         F.substring_index("row_key", "#", 1).cast("bigint").alias("run_id"),
         F.regexp_extract("row_key", r"#(\d+)/", 1).cast("int").alias("result_pos"),
         F.col("ordinal").alias("hit_pos"),
-        F.expr("cols['chunk_id']").alias("chunk_id"),
-        F.expr("cols['doc_id']").alias("doc_id"),
-    ).distinct()
+        "chunk_id",
+        "doc_id",
+    )

@@ -44,3 +44,17 @@ def test_merged_types_and_links(spark):
     kids = t["run.result.top_k_hits.labels"]
     joined = kids.join(hits.select("row_key", "chunk_id").withColumnRenamed("row_key", "parent_key"), "parent_key")
     assert sorted((r["chunk_id"], r["ordinal"], r["value"]) for r in joined.collect()) == [("a", 0, "n"), ("a", 1, "m")]
+
+
+def test_envelopes(spark):
+    """Outputs as JSON strings inside objects, below errors, and in several lists of one payload; places count over the payload."""
+    import json
+
+    out = lambda c: {"result": {"top_k_hits": [{"chunk_id": c}]}}
+    deep = out("d")
+    for _ in range(12):
+        deep = {"body": json.dumps(deep)} if _ % 2 else {"data": deep}
+    rows = [(1, {"body": json.dumps(out("a"))}), (2, {"error": None, "data": out("b")}), (3, {"first": [out("c"), None, out("d")], "second": [out("e")]}), (4, deep), (5, {"error": "x", "data": {"top_k_hits": [{"chunk_id": "z"}]}}), (6, [[out("f"), out("g")], out("h")])]
+    df = spark.createDataFrame([(k, json.dumps(v)) for k, v in rows], "run_id bigint, payload string")
+    got = sorted((r["run_id"], r["result_pos"], r["chunk_id"]) for r in nested.answer_hits(df).collect())
+    assert got == [(1, 0, "a"), (2, 0, "b"), (3, 0, "c"), (3, 2, "d"), (3, 3, "e"), (4, 0, "d"), (6, 0, "f"), (6, 1, "g"), (6, 2, "h")]
