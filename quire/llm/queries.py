@@ -101,6 +101,19 @@ def p7_shares(spark, sf):
     return mixing.mix_shares(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
 
 
+def p7_short(spark, sf):
+    """Shares of a mix three times as large as the targets allow: sources that run out hand over to the others."""
+    return mixing.mix_shares(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), stretch=3.0)
+
+
+def p7_char_shares(spark, sf):
+    """The mix sized in chars, so that SQL can check it: what each source has, its actual share, and whether its texts repeat too often."""
+    docs, targets = table(spark, sf, "documents"), table(spark, sf, "mix_targets")
+    have = mixing.distinct_texts(docs, targets, None).groupBy("source").agg(F.sum("n_tokens").alias("available"))
+    s = mixing.mix_shares(docs, targets, path=None).join(have, "source")
+    return s.select("source", "available", F.round("actual_share", 4).alias("actual_share"), (F.col("most_uses") > F.col("max_repeats")).alias("too_often"))
+
+
 def p8_found(spark, sf):
     return truncation.truncated(table(spark, sf, "documents")).select("doc_id")
 
@@ -117,7 +130,7 @@ def p8_limits(spark, sf):
     return truncation.unexplained_lengths(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p1_plain, p1_scores, p1_plain_scores, p2_found, p2_pieces, p2_cover, p2_files, p4_found, p4_repaired, p5_found, p5_restored, p6_found, p6_report, p7_mix, p7_shares, p8_found, p8_rates, p8_histogram, p8_limits)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p1_plain, p1_scores, p1_plain_scores, p2_found, p2_pieces, p2_cover, p2_files, p4_found, p4_repaired, p5_found, p5_restored, p6_found, p6_report, p7_mix, p7_shares, p7_short, p7_char_shares, p8_found, p8_rates, p8_histogram, p8_limits)}
 
 ORACLES = {
     "p1_plain": r"""select distinct block_id, length(text)::int as n_chars, len(regexp_extract_all(text, '[^ \t\n\r]+'))::int as n_words, len(regexp_extract_all(text, '[0-9]'))::int as n_digits,
@@ -135,6 +148,10 @@ ORACLES = {
     "p2_found": f"""select distinct c.chunk_id from chunk_records c left join {_LIMITS} l on c.chunk_strategy = l.chunk_strategy
       where length(c.text) > coalesce(l.max_chars, (select min(max_chars) from size_limits where chunk_strategy = 'default'))""",
     "p2_cover": "select chunk_id, max(length(text))::bigint as n_chars, false as too_long from chunk_records where text is not null group by 1",
+    "p7_char_shares": """with d as (select lower(trim(source)) source, text, doc_id from documents where text is not null and length(text) > 0 and lower(trim(source)) in (select lower(trim(source)) from mix_targets where target_share > 0)),
+      o as (select text, arg_min(source, doc_id) source from d group by 1), g as (select source, sum(length(text))::bigint available from o group by 1),
+      s as (select lower(trim(source)) source, sum(target_share) share from mix_targets group by 1)
+      select source, available, round(share / (select sum(share) from s join g using (source)), 4)::double actual_share, false too_often from g join s using (source)""",
     "p8_histogram": """select source, measure, length, count(*) as n from (
       select lower(trim(source)) as source, 'chars' as measure, length(text)::int as length from documents where text is not null and source is not null
       union all select lower(trim(source)), 'bytes', strlen(text)::int from documents where text is not null and source is not null) group by 1, 2, 3""",
