@@ -18,11 +18,12 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators.joins import salted_lookup
+from quire.operators.joins import in_bitmap, key_bitmap, salted_lookup
 from quire.session import cut_lineage
 
 #: What a scan reads -> what stood there.
@@ -31,13 +32,14 @@ CONFUSIONS = {
     "c": ("e",), "e": ("c",), "b": ("h",), "h": ("b",), "f": ("t",), "t": ("f",), "l": ("i", "t"), "i": ("l",), "í": ("i",),
     "rn": ("m",), "m": ("rn", "in"), "ri": ("n",), "n": ("ri",), "ii": ("u", "n"), "u": ("ii",), "cl": ("d",), "d": ("cl",), "in": ("m",), "vv": ("w",), "w": ("vv",), "iii": ("ш", "m"), "nn": ("m",), "li": ("h",),
 }
-#: Cost of one confusion; any other edit costs 1.
-CONFUSED = 0.3
+#: Cost of one confusion, and of one digit or sign read for a letter; any other edit costs 1.
+CONFUSED, SIGNED = 0.3, 0.1
 _TRUE_UNITS = sorted({t for ts in CONFUSIONS.values() for t in ts}, key=len)
 _SEEN_UNITS = sorted(CONFUSIONS, key=len)
 _SIGN = set("0123456789|!@$€")
-#: Mis-read words that go to the workers at once; more are taken in turns.
-BLOCK_WORDS = 200_000
+#: What counts as a word: up to so many chars. Longer runs are addresses, codes or encoded data, which no lexicon has.
+WORD_CHARS = 64
+_SALTS = 8
 _COUNT_BATCH = 300_000
 HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐­¬–][ \t]*\r?\n[ \t]*(?=[^\W\d_])")
 _TOKEN = re.compile(r"[^\s,;:.()\[\]\"“”„«»…'’‘?=/+{}<>\\^~#_*%&§°•☐☑–—‐­¬-]+")
@@ -59,7 +61,7 @@ def word_counts(blocks: DataFrame) -> DataFrame:
 
         def out() -> pd.DataFrame:
             both = seen[0].keys() | seen[1].keys()
-            keep = [w for w in both if 3 <= len(w) <= 30]
+            keep = [w for w in both if len(w) <= WORD_CHARS]
             df = pd.DataFrame({"w": keep, "s": [seen[0][w] for w in keep], "n": [seen[1][w] for w in keep]})
             seen[0].clear(), seen[1].clear()
             return df
@@ -73,7 +75,7 @@ def word_counts(blocks: DataFrame) -> DataFrame:
 
     b = blocks.where(F.col("text").isNotNull() & F.col("extraction_method").isin("ocr", "mixed", "native")).select((F.col("extraction_method") != "native").alias("scan"), "text")
     c = b.mapInPandas(count, "w string, s long, n long")
-    return c.groupBy("w").agg(F.sum("s").alias("n_scan"), F.sum("n").alias("n_native")).where(F.col("w").rlike(r"\p{L}.*\p{L}"))
+    return c.groupBy("w").agg(F.sum("s").alias("n_scan"), F.sum("n").alias("n_native")).where(F.col("w").rlike(r"\p{L}.*\p{L}|^\p{L}[0-9|!@$€]$|^[0-9|!@$€]\p{L}$"))
 
 
 def deletes(word: str, units: list[str]) -> list[str]:
@@ -87,23 +89,33 @@ def deletes(word: str, units: list[str]) -> list[str]:
     return out
 
 
-def unsigned(word: str) -> list[str]:
-    """Readings of a word with its digits and signs put back to letters; none when it holds other digits."""
-    outs = [""]
-    for c in word:
-        choices = CONFUSIONS.get(c, ()) if c in _SIGN else (c,)
-        if not choices:
-            return []
-        outs = [o + x for o in outs for x in choices]
-        if len(outs) > 64:
-            return []
-    latin = any("a" <= c <= "z" for c in word)
-    return [o for o in outs if not (latin and any("а" <= c <= "ї" for c in o))]
+def _classes() -> dict[str, str]:
+    """Each sign, and each letter that a sign may stand for, with the first of all that hang together."""
+    of: dict[str, str] = {}
+    for sign in sorted(_SIGN & CONFUSIONS.keys()):
+        group = {sign, *CONFUSIONS[sign]}
+        heads = {of[x] for x in group if x in of}
+        head = min(heads | {sign})
+        of = {k: head if v in heads else v for k, v in of.items()} | dict.fromkeys(group, head)
+    return of
+
+
+_COLLAPSE = str.maketrans(_classes())
+
+
+def collapsed(word: str) -> str:
+    """A word with signs and the letters they may stand for made equal, so that a word and all its readings meet on one key."""
+    return word.translate(_COLLAPSE)
+
+
+def reads_as(word: str, true: str) -> bool:
+    """Whether ``true`` is ``word`` with each digit and sign, and nothing else, put back to a letter."""
+    return len(word) == len(true) and all(t in CONFUSIONS.get(c, ()) if c in _SIGN else c == t for c, t in zip(word, true))
 
 
 @lru_cache(maxsize=200_000)
 def weighted_distance(seen: str, true: str) -> float:
-    """Edit distance in which a listed confusion costs CONFUSED and any other edit 1."""
+    """Edit distance in which a sign for a letter costs SIGNED, another listed confusion CONFUSED and any other edit 1."""
     n, m = len(seen), len(true)
     d = [[math.inf] * (m + 1) for _ in range(n + 1)]
     d[0][0] = 0.0
@@ -121,23 +133,26 @@ def weighted_distance(seen: str, true: str) -> float:
             for k in (1, 2, 3):
                 for t in CONFUSIONS.get(seen[i : i + k], ()) if i + k <= n else ():
                     if true.startswith(t, j):
-                        d[i + k][j + len(t)] = min(d[i + k][j + len(t)], c + CONFUSED)
+                        d[i + k][j + len(t)] = min(d[i + k][j + len(t)], c + (SIGNED if seen[i : i + k] in _SIGN else CONFUSED))
     return d[n][m]
 
 
 def misreadings(counts: DataFrame, most: float = 0.65, ratio: int = 10) -> DataFrame:
     """w, c, distance, n_true: words of scanned pages with the lexicon words they may stand for.
 
-    A suspect is at least five times as frequent on scanned pages as on others.
-    A candidate is at most ``most`` away and, unless the suspect holds digits or
-    signs, ``ratio`` times as frequent. Both sides meet on their deletes only.
+    A suspect is at least five times as frequent on scanned pages as on others,
+    and two letters alone, near to any other two, are none.
+    A candidate of a word with digits or signs is one that these may stand for;
+    of other words, and of words of two chars, one that is ``ratio`` times as
+    frequent. Other words' candidates are at most ``most`` away. Both sides meet
+    on their deletes, or on their collapsed forms, only.
     """
     lex = counts.where((F.col("n_native") >= 1) & (F.col("n_native") * 5 > F.col("n_scan")) & ~F.col("w").rlike(r"[0-9|!@$€]")).select("w", "n_native")
-    sus = counts.where((F.col("n_native") * 5 <= F.col("n_scan")) & ~F.col("w").rlike(r"^[lit1|!]+$")).select("w", "n_scan")
+    sus = counts.where((F.col("n_native") * 5 <= F.col("n_scan")) & ~F.col("w").rlike(r"^[lit1|!]+$") & ((F.length("w") > 2) | F.col("w").rlike(r"[0-9|!@$€]"))).select("w", "n_scan")
 
     def lex_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(k, w, n) for w, n in zip(pdf["w"], pdf["n_native"]) for k in ["\x02" + w, *deletes(w, _TRUE_UNITS)]]
+            out = [(k, w, n) for w, n in zip(pdf["w"], pdf["n_native"]) for k in ["\x02" + collapsed(w), *deletes(w, _TRUE_UNITS)]]
             yield pd.DataFrame(out, columns=["k", "c", "n_true"])
 
     def sus_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,21 +160,23 @@ def misreadings(counts: DataFrame, most: float = 0.65, ratio: int = 10) -> DataF
             out = []
             for w, n in zip(pdf["w"], pdf["n_scan"]):
                 if _SIGN & set(w):
-                    out += [("\x02" + x, w, n, True) for x in unsigned(w.strip("!") or w)]
+                    out.append(("\x02" + collapsed(w.strip("!") or w), w, n, True))
                 else:
                     out += [(k, w, n, False) for k in deletes(w, _SEEN_UNITS)]
             yield pd.DataFrame(out, columns=["k", "w", "n_seen", "signed"])
 
     pairs = sus.mapInPandas(sus_keys, "k string, w string, n_seen long, signed boolean").join(lex.mapInPandas(lex_keys, "k string, c string, n_true long"), "k")
-    pairs = pairs.where((F.col("signed")) | ((F.col("n_true") >= 3) & (F.col("n_true") >= ratio * F.col("n_seen"))))
+    pairs = pairs.where((F.col("signed") & (F.length("w") > 2)) | (F.col("n_true") >= ratio * F.col("n_seen")))
     pairs = pairs.groupBy("w", "c", "signed").agg(F.max("n_true").alias("n_true"))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            far = [0.25 * CONFUSED if s else weighted_distance(w, c) for w, c, s in zip(pdf["w"], pdf["c"], pdf["signed"])]
-            yield pdf.assign(distance=far)[["w", "c", "distance", "n_true"]]
+            bare = [w.strip("!") or w if s else w for w, s in zip(pdf["w"], pdf["signed"])]
+            far = [weighted_distance(w, c) if not s or reads_as(w, c) else math.inf for w, c, s in zip(bare, pdf["c"], pdf["signed"])]
+            near = [f < math.inf if s else f <= most for f, s in zip(far, pdf["signed"])]
+            yield pdf.assign(distance=far)[near][["w", "c", "distance", "n_true"]]
 
-    return pairs.mapInPandas(judge, "w string, c string, distance double, n_true long").where(F.col("distance") <= most)
+    return pairs.mapInPandas(judge, "w string, c string, distance double, n_true long")
 
 
 # --- lines ---------------------------------------------------------------------
@@ -170,7 +187,9 @@ _ALONE = re.compile(rf"\s*({_NUMBER})\s*", re.I)
 _BEFORE = re.compile(rf"\s*({_NUMBER})(?:\s{{2,}}|\s*[|·]\s*)(\S.*)", re.I)
 _AFTER = re.compile(rf"\s*(\S.*?)(?:\s{{2,}}|\s*[|·]\s*)({_NUMBER})\s*", re.I)
 _DIGITS = re.compile(r"\d+")
-_NO_HEADER = re.compile(r"_{2}|\.{4}|\t|(?: \.){3}|\[[ xX]?\]|\s=\s|\S\s{2,}\S+\s{2,}\S|\|.*\||[;{}<>]|[.!?,]$|^\s*(?:[-*•☐☑]|\(?\w{1,2}[.)])\s")
+_NO_HEADER = re.compile(r"_{2}|\.{4}|\t|(?: \.){3}|\[[ xX]?\]|\s=\s|\S\s{2,}\S+\s{2,}\S|\|.*\||[;{}<>]|[.?,]$|^\s*(?:[-*•☐☑]|\(?\w{1,2}[.)])\s")
+#: A capital I read as l.
+_MISREAD_CAPITAL = re.compile("l[bcdfghjkmnpqrstvwxz]")
 #: Applied after the single characters, so written in what those become.
 _ALIKE = (("vv", "w"), ("cl", "d"), ("rn", "m"), ("rl", "n"), ("ln", "m"), ("lll", "ш"), ("ll", "u"), ("nn", "m"))
 _ALIKE_CHARS = str.maketrans({"0": "o", "о": "o", "1": "l", "|": "l", "!": "l", "i": "l", "і": "l", "t": "f", "5": "s", "6": "b", "8": "b", "9": "g", "@": "a", "а": "a", "$": "s", "e": "c", "е": "c", "с": "c", "h": "b", "3": "з", "4": "ч"})
@@ -203,7 +222,7 @@ def line_evidence(text: str, page: int | None) -> list[tuple[str, str, str]]:
     out = []
     for line in text.split("\n"):
         bare = line.strip()
-        if not bare or len(line) > 110:
+        if not bare or (len(bare) > 110 and len(bare.split()) > 18):  # more words than a header and its number have
             continue
         if len(bare) <= 24 and (m := _ALONE.fullmatch(line)):
             if number_in(m[1], page):
@@ -216,7 +235,9 @@ def line_evidence(text: str, page: int | None) -> list[tuple[str, str, str]]:
             elif (m := _AFTER.fullmatch(line)) and number_in(m[2], page):
                 rest, numbered = m[1], True
         # a header opens like a title and is short; running text seldom does both
-        if rest[-1] in ".!?," or rest[0].islower() or not 2 <= rest.count(" ") + 1 <= (14 if numbered else 9) or _NO_HEADER.search(rest):
+        if not numbered and (rest[-1] in ".?," or (rest[0].islower() and not _MISREAD_CAPITAL.match(rest))):
+            continue
+        if not 2 <= rest.count(" ") + 1 <= (14 if numbered else 9) or _NO_HEADER.search(rest):
             continue
         if sum(map(str.isalpha, rest)) < 6:
             continue
@@ -259,7 +280,7 @@ def headers(lines: DataFrame, least_pages: int = 2, least_share: float = 0.15) -
     at = lines.where("key <> ''").groupBy("doc_id", "key", "page_num").agg(F.max(F.col("kind") == "numbered").alias("numbered"))
     per = at.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n"), F.count_if("numbered").alias("n_numbered"))
     pages = lines.select("doc_id", "page_num").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"))
-    j = per.where(F.col("n") >= least_pages).join(pages, "doc_id")
+    j = salted_lookup(per.where(F.col("n") >= least_pages), pages, ["doc_id"], "key", "inner")
     return j.where((F.col("n") >= least_share * F.col("n_pages")) | (F.col("n_numbered") >= 2)).select("doc_id", "key")
 
 
@@ -279,37 +300,36 @@ def scanned_only(rows: DataFrame, pages: DataFrame) -> DataFrame:
 def misread_blocks(blocks: DataFrame, words: DataFrame) -> DataFrame:
     """block_id, doc_id, page_num, ocr, w, prev, next: each mis-read word where it stands.
 
-    ``words``: w. They go to the workers in blocks of BLOCK_WORDS, so what is
-    broadcast is bounded; more words mean more passes.
+    ``words``: w. One pass over the texts, whatever the number of words: tokens
+    that a fixed-size bitmap of the words lets through are joined to the words,
+    with frequent words spread over salts.
     """
-    b = blocks.where(F.col("text").isNotNull() & F.col("block_id").isNotNull()).select("block_id", "doc_id", "page_num", F.coalesce(F.col("extraction_method").isin("ocr", "mixed"), F.lit(False)).alias("ocr"), "text")
+    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(h=pd.util.hash_array(pdf["w"].to_numpy(object), categorize=False).view(np.int64))
+
+    one = words.select("w").distinct()
+    bitmap = key_bitmap(one.mapInPandas(hashes, "w string, h long"), "h")
     schema = "block_id string, doc_id string, page_num int, ocr boolean, w string, prev string, next string"
 
-    def of(some: frozenset[str]):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                out = []
-                for bid, d, p, ocr, text in zip(pdf["block_id"], pdf["doc_id"], pdf["page_num"], pdf["ocr"], pdf["text"]):
-                    ws = tokens(text)
-                    if some.isdisjoint(ws):
-                        continue
-                    page = None if p is None or p != p else int(p)
-                    out += [(bid, d, page, ocr, w, ws[i - 1] if i else "", ws[i + 1] if i + 1 < len(ws) else "") for i, w in enumerate(ws) if w in some]
-                yield pd.DataFrame(out, columns=["block_id", "doc_id", "page_num", "ocr", "w", "prev", "next"]).astype({"page_num": "Int32"})
-
-        return run
-
-    parts, block = [], []
-    for r in words.select("w").distinct().toLocalIterator():
-        block.append(r["w"])
-        if len(block) == BLOCK_WORDS:
-            parts.append(b.mapInPandas(of(frozenset(block)), schema))
-            block = []
-    parts.append(b.mapInPandas(of(frozenset(block)), schema))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little")
+        for pdf in batches:
+            per = [tokens(t) for t in pdf["text"]]
+            flat = np.array([w for ws in per for w in ws], dtype=object)
+            if not len(flat):
+                continue
+            owner = np.repeat(np.arange(len(per)), [len(ws) for ws in per])
+            at = np.flatnonzero(in_bitmap(bits, pd.util.hash_array(flat, categorize=True)))
+            rows = pdf[["block_id", "doc_id", "page_num", "ocr"]].iloc[owner[at]].reset_index(drop=True)
+            before, after = np.r_[[""], flat[:-1]], np.r_[flat[1:], [""]]
+            before[np.r_[True, owner[1:] != owner[:-1]]] = ""
+            after[np.r_[owner[1:] != owner[:-1], True]] = ""
+            yield rows.assign(w=flat[at], prev=before[at], next=after[at]).astype({"page_num": "Int32"})
+
+    b = blocks.where(F.col("text").isNotNull() & F.col("block_id").isNotNull()).select("block_id", "doc_id", "page_num", F.coalesce(F.col("extraction_method").isin("ocr", "mixed"), F.lit(False)).alias("ocr"), "text")
+    found = b.mapInPandas(run, schema).withColumn("_salt", F.pmod(F.xxhash64("block_id"), F.lit(_SALTS)).cast("int"))
+    return found.join(one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))), ["w", "_salt"], "left_semi").select("block_id", "doc_id", "page_num", "ocr", "w", "prev", "next")
 
 
 def damage(blocks: DataFrame, pages: DataFrame) -> DataFrame:
