@@ -140,6 +140,9 @@ def _targets(targets: DataFrame) -> list:
 def distinct_texts(docs: DataFrame, targets: DataFrame, path: str | None = TOKENIZER) -> DataFrame:
     """One row per different text of the listed sources: its least doc_id with that row's source, domain and language."""
     wanted = targets.where(F.col("source").isNotNull() & (F.col("target_share") > 0)).select(source_name(F.col("source")).alias("source")).distinct()
+    for c in LEVELS[1:]:
+        if c not in docs.columns:  # a level the documents don't know
+            docs = docs.withColumn(c, F.lit(None).cast("string"))
     d = docs.withColumn("source", source_name(F.col("source"))).join(F.broadcast(wanted), "source", "left_semi")  # at most MAX_LEAVES, as _targets sees to
     t = sized(d, path).where("n_tokens > 0")
     levels = [F.coalesce(c, F.lit("und")).alias(c) for c in LEVELS[1:]]

@@ -1,6 +1,7 @@
 """The training-data operators on small cases, odd rows and brute force."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,15 +52,18 @@ def test_scores_equal_brute_force(spark):
     s = quality.scored(quality.statistics(spark.createDataFrame(rows, BLOCKS))).collect()
     for r in s[:20]:
         same = [x for x in s if x["lang"] == r["lang"]]
-        same = same if len(same) >= quality.LEAST_TEXTS else s
-        want = sum(-math.log(sum(x[k] >= r[k] for x in same) / len(same)) for k in quality.STATS)
+        share = lambda rows: sum(x[k] >= r[k] for x in rows)
+        want = 0.0
+        for k in quality.STATS:
+            tail = (share(same) + quality.PRIOR_TEXTS * share(s) / len(s)) / (len(same) + quality.PRIOR_TEXTS)
+            want += -math.log(tail) * r[k] / 1000 * quality.WEIGHTS.get(k, 1.0)
         assert abs(want - r["outlier_score"]) < 1e-5
 
 
 # --- splitting ----------------------------------------------------------------
 
 
-def test_pieces_cover_overlap_and_fit(spark, tmp_path):
+def test_pieces_cover_overlap_and_fit(spark, tmp_path, monkeypatch):
     rnd = random.Random(5)
     text = "".join(rnd.choice(["word ", "wörd, ", "end. ", "\n", "\n\n", "漢字。", "x" * 30]) for _ in range(900))
     rows = [("a", "s", 1, text, None), ("b", "s", 1, text[:2000], "table_rows"), ("b", "s", 1, text[:2000], "table_rows"), ("e", "s", 1, "", "odd"), ("n", None, None, None, None), ("solid", "s", 2, "y" * 1000, "default")]
@@ -79,7 +83,9 @@ def test_pieces_cover_overlap_and_fit(spark, tmp_path):
     p.write_bytes(text.encode())
     row = [(r["start"], r["piece_text"]) for r in got if r["chunk_id"] == "a"]
     for size in (512, 4096, 1 << 20):
-        f = splitting.split_files(spark, [str(p)], 300, 40, range_bytes=size).orderBy("piece_no").collect()
+        monkeypatch.setattr(splitting, "RANGE_CHARS", size)
+        assert sorted((r["start"], r["piece_text"]) for r in splitting.split_pieces(df, lim).where("chunk_id = 'a'").collect()) == row
+        f = splitting.split_files(spark, [(p.as_uri(), 300, 40, False)], range_bytes=size).orderBy("piece_no").collect()
         assert [(r["start"], r["piece_text"]) for r in f] == row
 
 
@@ -165,30 +171,111 @@ def test_every_long_shared_run_shares_a_fingerprint():
         import numpy as np
 
         def prints(pad):
-            g = leakage.gram_hashes(np.array([rnd.randrange(1, 2**63) for _ in range(pad)] + run + [rnd.randrange(1, 2**63) for _ in range(pad)], np.uint64))
-            return set(g[leakage.winnow(g)].tolist())
+            ids = np.array([rnd.randrange(1, 2**63) for _ in range(pad)] + run + [rnd.randrange(1, 2**63) for _ in range(pad)], np.uint64)
+            return set(leakage.winnowed(ids, np.zeros(len(ids), int))[1].tolist())
 
         assert prints(rnd.randrange(9)) & prints(rnd.randrange(9))
 
 
-def test_blocks_of_cases_give_the_same(spark, monkeypatch):
-    d = spark.createDataFrame([(1, " ".join(f"a{i}" for i in range(30)) + " " + " ".join(f"b{i}" for i in range(30)))], "doc_id bigint, text string")
-    c = spark.createDataFrame([("a", " ".join(f"a{i}" for i in range(30))), ("b", " ".join(f"b{i}" for i in range(30)))], "case_id string, passage string")
-    monkeypatch.setattr(leakage, "BLOCK_WORDS", 10)
-    assert sorted(r["case_id"] for r in leakage.leaks(d, c).collect()) == ["a", "b"]
+def test_no_stretch_within_the_rate_is_lost():
+    """Random stretches of 20 and more words with as many changed, dropped and added words as the rate allows, anywhere in them."""
+    import numpy as np
+
+    assert leakage.surest_run(20, 0.14) == leakage.K + leakage.WINDOW - 1
+    rnd = random.Random(8)
+    one = lambda: rnd.randrange(1, 2**32)
+    for _ in range(1500):
+        n = rnd.choice([20, 21, 22, 28, 29, 36, 43, 60, 90])
+        part = [one() for _ in range(n)]
+        changed = list(part)
+        for i in sorted(rnd.sample(range(1, n - 1), int(0.14 * n)), reverse=True):
+            kind = rnd.choice(["put", "put", "drop", "add"])
+            changed[i : i + (kind != "add")] = [] if kind == "drop" else [one()]
+        passage = [one() for _ in range(rnd.randrange(12))] + part + [one() for _ in range(rnd.randrange(12))]
+        doc = [one() for _ in range(rnd.randrange(40))] + changed + [one() for _ in range(rnd.randrange(40))]
+        prints = [leakage.winnowed(np.array(x, np.uint64), np.zeros(len(x), int)) for x in (doc, passage)]
+        at = {}
+        for j, h in zip(*map(np.ndarray.tolist, prints[1])):
+            at.setdefault(h, []).append(j)
+        hits = [(i, j) for i, h in zip(*map(np.ndarray.tolist, prints[0])) for j in at.get(h, ())]
+        words, changes, _ = leakage.stretch(doc, passage, hits, 20, 0.14)
+        assert words >= 20 and changes <= 0.14 * words
+
+
+def test_chance_words_in_common_are_no_leak():
+    rnd = random.Random(9)
+    for _ in range(300):
+        same = [rnd.randrange(1, 50) for _ in range(6)]
+        passage, doc = ([rnd.randrange(1, 2**32) for _ in range(40)] for _ in range(2))
+        passage[10:16] = doc[20:26] = same
+        assert leakage.stretch(doc, passage, [(20, 10), (21, 11), (22, 12)], 20, 0.14)[0] == 0
+
+
+def test_large_held_out_sets_are_joined_with_the_same_result(spark, monkeypatch):
+    han = "".join(chr(0x4E00 + 7 * i) for i in range(30))
+    d = spark.createDataFrame([(1, " ".join(f"a{i}" for i in range(30)) + " " + " ".join(f"b{i}" for i in range(30))), (2, "x " + han), (1, "another text"), (None, han)], "doc_id bigint, text string")
+    c = spark.createDataFrame([("a", " ".join(f"a{i}" for i in range(30))), ("b", " ".join(f"b{i}" for i in range(30))), ("z", han)], "case_id string, passage string")
+    want = [(1, "a"), (1, "b"), (2, "z")]
+    assert sorted((r["doc_id"], r["case_id"]) for r in leakage.leaks(d, c).collect()) == want
+    for name in ("BROADCAST_PRINTS", "BROADCAST_WORDS", "CASES_A_ROW"):
+        monkeypatch.setattr(leakage, name, 1)
+    assert sorted((r["doc_id"], r["case_id"]) for r in leakage.leaks(d, c).collect()) == want
+    with pytest.raises(ValueError, match="equal words"):
+        leakage.leaks(d, c, 8, 0.3)
+
+
+def test_escapes_lead_to_the_original():
+    cases = {"D&Atilde;&copy;cision du comit&Atilde;&copy;": "Décision du comité", "D\\u00c3\\u00a9cision": "Décision", "D&amp;Atilde;&amp;copy;cision": "Décision", "\\xc3\\xa9t\\xc3\\xa9 en ville": "été en ville"}
+    for bad, text in cases.items():
+        assert re.search(encoding.SUSPECT, bad) and encoding.wrongly_decoded(bad)[:2] == (True, text)
+    for fine in ("R&amp;D costs", "caf&eacute; noir", "C:\\xab and \\u0041", "AT&T; more"):
+        assert not encoding.wrongly_decoded(fine)[0]
+
+
+def test_any_number_of_signs_is_read(spark):
+    word = "administration of the 1nst1tut10n"
+    rows = [block(f"n{i}", f"institution illumination {i} committee", method="native") for i in range(20)]
+    rows += [block("s", "the 1n5t1tut10n and 1||um1nat10n", page=1), block("of", "0ur c0mm1ttee", page=2), block("two", "tk and 0f", page=3)]
+    rows += [block(f"of{i}", "of the river of the town", method="native") for i in range(40)]
+    df = spark.createDataFrame(rows, BLOCKS)
+    got = {(r["w"], r["c"]) for r in scannoise.misreadings(scannoise.word_counts(df)).collect()}
+    assert word and got == {("1n5t1tut10n", "institution"), ("1||um1nat10n", "illumination"), ("c0mm1ttee", "committee"), ("0f", "of")}
 
 
 # --- mixing -------------------------------------------------------------------
 
 
 def test_budgets_fill_siblings_first():
-    leaves = [("a", "en", 100, 1), ("a", "fr", 100, 1), ("b", "en", 10, 2)]
-    total, got = mixing.budgets(leaves, {"a": 0.5, "b": 0.5})
+    leaves = [(("a", "en"), 100, 1), (("a", "fr"), 100, 1), (("b", "en"), 10, 2)]
+    half = {("a",): 0.5, ("b",): 0.5}
+    total, got = mixing.budgets(leaves, half)
     assert total == 40 and got[("b", "en")] == 20 and got[("a", "en")] + got[("a", "fr")] == 20
-    total, got = mixing.budgets(leaves, {"a": 0.5, "b": 0.5}, 100)
+    total, got = mixing.budgets(leaves, half, 100)
     assert sum(got.values()) == 100 and got[("b", "en")] == 20
-    assert mixing.budgets([], {"a": 1.0}) == (0, {})
-    assert sum(mixing.budgets(leaves, {"a": 0.5, "b": 0.5}, 10_000)[1].values()) == 220
+    assert mixing.budgets([], {("a",): 1.0}) == (0, {})
+    assert sum(mixing.budgets(leaves, half, 10_000)[1].values()) == 220
+
+
+def test_shortages_stay_in_the_domain_before_they_rise():
+    leaves = [(("law", "en", "x"), 10, 1), (("law", "en", "y"), 90, 1), (("law", "fr", "x"), 100, 1), (("news", "en", "z"), 1000, 1)]
+    weights = {("law",): 0.5, ("news",): 0.5, ("law", "en"): 1.0, ("law", "fr"): 1.0, ("law", "en", "x"): 3.0, ("law", "en", "y"): 1.0}
+    _, got = mixing.budgets(leaves, weights, 200)
+    assert got == {("law", "en", "x"): 10, ("law", "en", "y"): 40, ("law", "fr", "x"): 50, ("news", "en", "z"): 100}
+    _, got = mixing.budgets(leaves, weights, 600)
+    assert got == {("law", "en", "x"): 10, ("law", "en", "y"): 90, ("law", "fr", "x"): 100, ("news", "en", "z"): 400}
+
+
+def test_shares_of_the_tables(spark):
+    sf = "/root/testdata/sf0.01"
+    t = {r["source"]: r for r in spark.read.parquet(f"{sf}/mix_targets.parquet").collect()}
+    got = queries.p7_shares(spark, sf).collect()
+    has = [r["source"] for r in got if r["tokens"] > 0]
+    scale = sum(t[s]["target_share"] for s in has)
+    for r in got:
+        want = t[r["source"]]["target_share"] / scale if r["source"] in has else 0.0
+        assert r["actual_share"] == pytest.approx(want, abs=2e-3) and r["most_uses"] <= t[r["source"]]["max_repeats"]
+    short = {r["source"]: r for r in queries.p7_short(spark, sf).collect()}
+    assert sum(r["tokens"] for r in short.values()) > sum(r["tokens"] for r in got) and all(r["most_uses"] <= t[s]["max_repeats"] for s, r in short.items())
 
 
 def test_mix_reaches_shares_and_respects_repeats(spark):
@@ -221,7 +308,7 @@ def test_truncated_by_limit_trace_and_word(spark):
     rows = [(i, whole(3 + i % 9), "free", 1) for i in range(200)] + [(1000 + i, whole(40)[:500], "Cut ", 1) for i in range(40)]
     odd = [(2000, whole(3) + " And so it is ...", "free", 1), (2001, whole(3) + " Riverside offic…", "free", 1), (2002, whole(3) + " Riverside officeland reportwo", "free", 1), (2003, None, "free", 1), (2004, "", None, 1), (2005, whole(900) + " Riverside", None, 1), (2006, whole(2) + " offic�", None, 1), (2006, whole(2) + " offic�", None, 1), (2007, "   ", "free", 1)]
     d = spark.createDataFrame(rows + odd, "doc_id bigint, text string, source string, length int")
-    got = {r["doc_id"]: r["reason"] for r in truncation.truncated(d, least=5).collect()}
+    got = {r["doc_id"]: r["reason"] for r in truncation.truncated(d).collect()}
     cut = {r[0] for r in rows[200:] if r[1][-1] != "."}
     assert {k for k, v in got.items() if v == "limit"} == cut
     assert {k for k in got if k >= 2000} == {2001, 2002, 2006} and not [k for k in got if k < 1000]
@@ -237,13 +324,13 @@ def test_word_verdicts_do_not_depend_on_the_size(spark):
     for copies in (10, 200):
         rows = [(i, f"{i} {whole}", "s") for i in range(copies)] + [(1000, f"{whole} Near the river they met b", "s")]
         d = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
-        assert {r["doc_id"]: r["reason"] for r in truncation.truncated(d, least=5).collect()} == {1000: "word"}
+        assert {r["doc_id"]: r["reason"] for r in truncation.truncated(d).collect()} == {1000: "word"}
     rows = [(20_000 + i, f"{i} {whole}", "s") for i in range(10)]
     rows += [(21_000 + i, f"text {i} of them\nthe other b", None) for i in range(9)] + [(22_000 + i, f"text {i} of them\nthe part b", None) for i in range(20)]
     rows += [(23_000, "Xqz stands here. " + "word " * 900_000 + "ends.", "s"), (23_001, "They saw the office of old Xqz", "s")]
     d = spark.createDataFrame(rows, "doc_id bigint, text string, source string").unionByName(spark.range(9000).selectExpr("id as doc_id", "concat('Some words stand here\nrow ', id) as text", "string(null) as source"))
     # nine of 9000 open texts share a line by chance, twenty share a formula; a name seen once in 900,000 words is as good as new
-    assert {r["doc_id"] for r in truncation.truncated(d, least=5).where("reason = 'word'").collect()} == {*range(21_000, 21_009), 23_001}
+    assert {r["doc_id"] for r in truncation.truncated(d).where("reason = 'word'").collect()} == {*range(21_000, 21_009), 23_001}
 
 
 # --- registered queries ---------------------------------------------------------
