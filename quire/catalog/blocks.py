@@ -37,7 +37,7 @@ d as (select *,
   k <= 2 and ((n = upper(n) and n <> lower(n)) or regexp_matches(low, '^(?:chapter|part|appendix|section)\b') or (tok <= 10 and not regexp_matches(n, '[.?!]$'))) as is_head from c),
 e as (select *, case when n = '' then 'unknown' when is_list and {S.any_of("low", ("checklist", "confirm", "verify", "screening"))} then 'checklist_item' when is_list then 'list_item' when is_table then 'table_like' when is_form then 'form_field' when compact then 'key_value' when is_head then 'heading' else 'paragraph' end as role,
   case when n = '' then 'unknown' when is_list then 'list' when is_table then 'table_like' when is_form or compact then 'text' when is_head then 'heading' else 'text' end as kind from d),
-f as (select *, {S.labels([("colon_heavy", "colons >= 1"), ("dense_paragraph", "tok >= 60"), ("digit_heavy", "digits >= greatest(3, floor(length(n) / 10))"), ("domain_signal", S.any_of("low", ("invoice", "account", "registration", "claimant-appellant", "court of appeals"))), ("empty", "n = ''"), ("heading_like", "kind = 'heading'"), ("list_like", "kind = 'list'"), ("multi_line", "k >= 3"), ("question_like", "regexp_matches(n, '^[0-9]+[).]?\\s+') or ends_with(n, '?')"), ("structured_signal", S.any_of("low", ("table ", "appendix", "checklist", "questionnaire"))), ("table_like", "kind = 'table_like'")])} as flags from e),
+f as (select *, {S.labels([("colon_heavy", "colons >= 1"), ("dense_paragraph", "tok >= 60"), ("digit_heavy", "digits >= greatest(3, floor(length(n) / 10))"), ("domain_signal", S.any_of("low", B.DOMAIN_WORDS)), ("empty", "n = ''"), ("heading_like", "kind = 'heading'"), ("list_like", "kind = 'list'"), ("multi_line", "k >= 3"), ("question_like", "regexp_matches(n, '^[0-9]+[).]?\\s+') or ends_with(n, '?')"), ("structured_signal", S.any_of("low", B.STRUCTURE_WORDS)), ("table_like", "kind = 'table_like'")])} as flags from e),
 g as (select *, case when role in ('table_like', 'form_field', 'key_value') then 1 else 0 end as tab from f)
 select block_id, kind as block_kind, role as block_role, greatest(k, 1)::int as line_count, tok::int as token_count,
   greatest(0.15, least(0.98, round((0.62 + case when role = 'heading' then 0.12 else 0 end + 0.08 * tab + case when list_contains(flags, 'structured_signal') then 0.05 else 0 end + case when list_contains(flags, 'multi_line') then 0.04 else 0 end
@@ -46,7 +46,7 @@ select block_id, kind as block_kind, role as block_role, greatest(k, 1)::int as
 
 @query("b4_block_classifier", _B4)
 def b4(spark, sf):
-    return B.classified(_blocks(spark, sf))
+    return B.classified(table(spark, sf, "page_blocks")).dropDuplicates(["block_id"])  # redeliveries are equal, so no text is shuffled
 
 
 @query("b5_heading_promotion", f"""with {S.BLOCKS}, {S.HEADS},

@@ -16,19 +16,24 @@ def _chunks(spark, sf):
     return tables.chunks(table(spark, sf, "chunk_records"))
 
 
+def _written(spark, sf):
+    """Chunks as written; rewrites are equal but for the time, so operators on single rows run in the scan and equal results go after."""
+    return table(spark, sf, "chunk_records")
+
+
 @query("c1_paragraphs", f"with {S.CHUNKS}, {_PARAS} select * from paras")
 def c1(spark, sf):
-    return C.paragraphs(_chunks(spark, sf))
+    return C.paragraphs(_written(spark, sf)).distinct()
 
 
 @query("c2_noise_paragraphs", rf"with {S.CHUNKS}, {_PARAS} select chunk_id, para_no from paras where regexp_matches(para, '^[0-9\s.,/-]+$') or regexp_matches(para, '(?:\. ?){{4,}}') or regexp_matches(para, '^(?:[Pp]age|p\.)\s*[0-9]+') or length(para) < 12")
 def c2(spark, sf):
-    return C.paragraphs(_chunks(spark, sf)).where(C.is_noise_paragraph(F.col("para"))).select("chunk_id", "para_no")
+    return C.paragraphs(_written(spark, sf)).where(C.is_noise_paragraph(F.col("para"))).select("chunk_id", "para_no").distinct()
 
 
 @query("c3_garbled_paragraphs", rf"with {S.CHUNKS}, {_PARAS}, t as (select chunk_id, para_no, string_split(para, ' ') w from paras) select chunk_id, para_no from t where len(w) >= 4 and len(list_filter(w, lambda x: length(x) = 1)) * 2 >= len(w)")
 def c3(spark, sf):
-    return C.paragraphs(_chunks(spark, sf)).where(C.is_garbled(F.col("para"))).select("chunk_id", "para_no")
+    return C.paragraphs(_written(spark, sf)).where(C.is_garbled(F.col("para"))).select("chunk_id", "para_no").distinct()
 
 
 @query("c4_packed_segments")
@@ -39,7 +44,7 @@ def c4(spark, sf):
 @query("c7_structured_rows", f"""with {S.CHUNKS}, l as (select chunk_id, i - 1 line_no, list_transform(string_split(ls[i], ';'), lambda p: trim(p)) parts from (select chunk_id, ls, unnest(range(1, len(ls) + 1)) i from (select chunk_id, {S.lines("text")} ls from chunks where text is not null)))
   select chunk_id, line_no::int line_no, (j - 1)::int row_no, parts[j] as "row" from (select *, unnest(range(1, len(parts) + 1)) j from l where len(parts) >= 3) where parts[j] <> ''""")
 def c7(spark, sf):
-    return C.structured_rows(_chunks(spark, sf))
+    return C.structured_rows(_written(spark, sf)).distinct()
 
 
 _HINTS = S.labels([(h, "(" + " or ".join(f"contains(lower(text), '{c}')" for c in cues) + ")") for h, cues in C.HINTS])
@@ -50,7 +55,7 @@ _HINTS = S.labels([(h, "(" + " or ".join(f"contains(lower(text), '{c}')" for c i
   r as (select chunk_id, list(term order by i) terms from (select *, row_number() over (partition by chunk_id order by i) rn from f) where rn <= 14 group by 1)
   select t.chunk_id, coalesce(r.terms, []) terms, {_HINTS} hints from t left join r on t.chunk_id = r.chunk_id""")
 def c10(spark, sf):
-    return C.semantics(_chunks(spark, sf))
+    return C.semantics(_written(spark, sf)).dropDuplicates(["chunk_id"])
 
 
 @query("c11_size_packing")
@@ -71,13 +76,13 @@ def c13(spark, sf):
 
 _LOW = f"lower({S.squeezed('text')})"
 _C16 = S.labels(
-    [("boilerplate", "contains(low, 'all rights reserved')"), ("page_number", "regexp_matches(low, '^[0-9]+$')"), ("short_fragment", "length(low) < 25"), ("statistical_noise", S.any_of("low", ("95% ci", "not significant", "systematic review"))), ("table_reference", S.any_of("low", ("list of tables", "list of figures"))),
-     ("title_fragment", "length(low) < 120 and not contains(text, '.') and not contains(text, ':') and low <> '' and cap >= 0.7 * len(w)"), ("toc_fragment", S.any_of("low", ("list of tables", "list of figures"))), ("toc_leader", r"regexp_matches(text, '\.\s*\.\s*\.\s*\.')")]
+    [("bare_number", "regexp_matches(low, '^[0-9]+$')"), ("contents_list", S.any_of("low", C.CONTENTS)), ("dotted_leader", r"regexp_matches(text, '\.\s*\.\s*\.\s*\.')"), ("imprint", S.any_of("low", C.IMPRINT)),
+     ("name_only", "length(low) < 120 and not contains(text, '.') and not contains(text, ':') and low <> '' and cap >= 0.7 * len(w)"), ("statistics_jargon", S.any_of("low", C.JARGON)), ("too_short", "length(low) < 25")]
 )
 
 
 @query("c16_chunk_quality", rf"""with {S.CHUNKS}, a as (select chunk_id, text, {_LOW} low, list_filter(string_split_regex(trim(text), '\s+'), lambda x: x <> '') w from chunks where text is not null),
   b as (select *, len(list_filter(w, lambda x: substr(x, 1, 1) = upper(substr(x, 1, 1)) and substr(x, 1, 1) <> lower(substr(x, 1, 1)))) cap from a), c as (select chunk_id, {_C16} noise_labels from b)
-  select chunk_id, noise_labels, greatest(0, least(1, round(1.0 - coalesce(list_sum(list_transform(noise_labels, lambda l: (map {C.PENALTIES})[l])), 0), 6)))::double quality from c""")
+  select chunk_id, noise_labels, greatest(0, least(1, round(1.0 - coalesce(list_sum(list_transform(noise_labels, lambda l: (map {dict(C.NOISE)})[l])), 0), 6)))::double quality from c""")
 def c16(spark, sf):
-    return C.quality(_chunks(spark, sf))
+    return C.quality(_written(spark, sf)).dropDuplicates(["chunk_id"])

@@ -13,11 +13,10 @@ _F = f"""{S.HEADS}, ft as (select *, lower(coalesce(title, '') || ' ' || array_t
 fac as (select doc_id, facet, case when n > 0 then value else 'general' end as value, n from (select *, row_number() over (partition by doc_id, facet order by n desc, rank) rn from fc) where rn = 1)"""
 _CONF = f"""{_F}, k as (select doc_id, count(*) filter (value <> 'general') k, sum(n) n from fac group by 1),
 sem as (select doc_id, least(0.95, round(0.35 + 0.15 * k + 0.02 * least(n, 5) + case when toc > 0 then 0.1 else 0 end, 6))::double confidence, k, len, toc from (select h.doc_id, coalesce(length(title), 0) len, coalesce(len(h.toc), 0) toc, k.k, k.n from heads h join k on h.doc_id = k.doc_id))"""
+_SHORT = {"document_type": "dt", "purpose": "p", "audience": "a", "style": "s"}
+_FAMILY = "case " + " ".join("when " + " or ".join(f"coalesce({_SHORT[c]} in ({', '.join(repr(v) for v in vs)}), false)" for c, vs in by.items()) + f" then '{name}'" for name, by in semantics.FAMILIES) + " else 'other' end"
 _FAM = f"""{_F}, pv as (select h.doc_id, h.document_type dt, max(value) filter (facet = 'purpose') p, max(value) filter (facet = 'audience') a, max(value) filter (facet = 'style') s from heads h join fac on h.doc_id = fac.doc_id group by 1, 2),
-fam as (select doc_id, dt, case when dt = 'book' or a = 'learners' then 'educational_book' when dt = 'guidance_note' then 'humanitarian_guidance' when dt = 'model_report' then 'humanitarian_model_report' when dt = 'technical_manual' then 'technical_manual'
-  when dt in ('financial_statement', 'assessment_form', 'administrative_form', 'registration_form') or p = 'registration_update' then 'administrative_financial_form'
-  when dt in ('court_opinion', 'inspection_report', 'agency_report', 'statistical_table', 'government_bulletin') or s in ('legal_record', 'statistical_table') or p in ('institutional_reporting', 'statistical_reference') then 'government_public_record'
-  when s = 'structured_form' then 'structured_form' when dt = 'review_article' then 'clinical_review' when dt = 'empirical_study' then 'clinical_study' when a = 'clinicians' then 'clinical_reference' else 'general_reference' end family from pv)"""
+fam as (select doc_id, dt, {_FAMILY} family from pv)"""
 _COV = f"""cov as (select h.doc_id, coalesce(x.ts, []) coverage_terms from heads h left join (select doc_id, list(term order by i) ts from (select doc_id, term, i, row_number() over (partition by doc_id order by i) rn from (select doc_id, w[i] term, min(i) i from
   (select doc_id, w, unnest(range(1, len(w) + 1)) i from (select doc_id, regexp_extract_all(lower(coalesce(title, '') || ' ' || array_to_string({_E}, ' ')), '[a-z]{{4,}}') w from heads)) where not list_contains({S.STOP}, w[i]) group by 1, 2)) where rn <= 8 group by 1) x on h.doc_id = x.doc_id)"""
 _Q = "q as (select case_id query_id, query from eval_cases)"

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words without topical meaning.
+#: English function words of four letters and more, from general knowledge of the language.
 STOPWORDS = (
-    "about after among because before between chapter chapters common could document does during file files from have into many more most other over page pages "
-    "review section should some such than that their there these they this those through under using what when where which while with would"
+    "about above after again against along also although always among around because been before behind below between both could does down during each either else even ever every from "
+    "have here however into itself just less like many might more most much must near neither never none once only other over rather same several shall should since some such than that "
+    "their them then there these they this those though through thus together toward under until upon very were what when where whether which while whom whose will with within without would your"
 ).split()
 QUERY_STOPWORDS = "a an and any are as at be by can did do does for from how in is it of on or say says that the this to under was what when where which who why with".split()
 

@@ -46,18 +46,34 @@ def semantic_confidence(heads: DataFrame) -> DataFrame:
     return j.select("doc_id", F.col("c").alias("confidence"), label.alias("label"), T.labels([("no_title", F.col("len") == 0), ("no_facet", F.col("k") == 0), ("no_contents", F.col("toc") <= 0)]).alias("warnings"))
 
 
+#: This library's own families: (family, {column: values}); the first row of which any column holds one of its values wins.
+FAMILIES: tuple[tuple[str, dict[str, tuple[str, ...]]], ...] = (
+    ("teaching", {"document_type": ("book",), "audience": ("learners",)}),
+    ("court_and_law", {"document_type": ("court_opinion",), "style": ("legal_record",), "audience": ("legal_staff",)}),
+    ("form", {"document_type": ("financial_statement", "assessment_form", "administrative_form", "registration_form"), "style": ("structured_form",), "purpose": ("registration_update",)}),
+    ("figures", {"document_type": ("statistical_table", "model_report"), "style": ("statistical_table",), "purpose": ("statistical_reference",)}),
+    ("report", {"document_type": ("inspection_report", "agency_report", "government_bulletin"), "purpose": ("institutional_reporting",)}),
+    ("study", {"document_type": ("review_article", "empirical_study"), "audience": ("clinicians",)}),
+    ("manual", {"document_type": ("technical_manual", "guidance_note"), "audience": ("engineers",), "purpose": ("procedural_guidance",)}),
+)
+
+
+def family_of(cols: dict[str, Column]) -> Column:
+    """The family by FAMILIES of columns document_type, purpose, audience, style; ``other`` where no row holds."""
+    rules = []
+    for name, by in FAMILIES:
+        holds = F.lit(False)
+        for c, values in by.items():
+            holds = holds | F.coalesce(cols[c].isin(*values), F.lit(False))
+        rules.append((name, holds))
+    return T.first_label(rules, "other")
+
+
 def families(heads: DataFrame) -> DataFrame:
-    """doc_id, family: an ordered ladder over the stored document type and the derived facets."""
+    """doc_id, family by the stored document type and the derived facets."""
     f = facets(heads).groupBy("doc_id").pivot("facet", ["purpose", "audience", "style"]).agg(F.first("value"))
     j = heads.select("doc_id", "document_type").join(f, "doc_id")
-    dt, p, a, s = (F.col(c) for c in ("document_type", "purpose", "audience", "style"))
-    rules = [
-        ("educational_book", (dt == "book") | (a == "learners")), ("humanitarian_guidance", dt == "guidance_note"), ("humanitarian_model_report", dt == "model_report"), ("technical_manual", dt == "technical_manual"),
-        ("administrative_financial_form", dt.isin("financial_statement", "assessment_form", "administrative_form", "registration_form") | (p == "registration_update")),
-        ("government_public_record", dt.isin("court_opinion", "inspection_report", "agency_report", "statistical_table", "government_bulletin") | s.isin("legal_record", "statistical_table") | p.isin("institutional_reporting", "statistical_reference")),
-        ("structured_form", s == "structured_form"), ("clinical_review", dt == "review_article"), ("clinical_study", dt == "empirical_study"), ("clinical_reference", a == "clinicians"),
-    ]
-    return j.select("doc_id", T.first_label([(n, F.coalesce(c, F.lit(False))) for n, c in rules], "general_reference").alias("family"))
+    return j.select("doc_id", family_of({c: F.col(c) for c in ("document_type", "purpose", "audience", "style")}).alias("family"))
 
 
 def inventory_summaries(heads: DataFrame) -> DataFrame:
