@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quire.catalog import sql as S
 from quire.catalog.nested import _HITS, _OUTPUTS
+from quire.catalog.planning import _INTENT
 from quire.operators import answers, metrics, nested, retrieval, tables
 from quire.queries import query
 from quire.session import table
@@ -26,9 +27,14 @@ def _ref(x: str, label: str, pat: str) -> str:
 _STRUCT = " + ".join(f"(case when {_ref('query', l, p)} = '' then 0.0 when {_ref('full_text', l, p)} = '' then -1.0 when {_ref('query', l, p)} = {_ref('full_text', l, p)} then 4.0 else -6.0 end)" for l, p in (("appendix", "[a-z0-9]+"), ("question", "[0-9]+"), ("table", r"[a-z0-9][a-z0-9\-.]*")))
 _GRAM = lambda n, w: f"{w} * len(list_filter(list_distinct(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n} - 1], ' '))), lambda g: contains(lower(text), g)))"
 _BON = " + ".join(f"(case when list_has_any(terms, {list(qs)}) and list_has_any(coalesce(content_hints, {_NO}), {list(hs)}) then {w} else 0.0 end)" for qs, hs, w in retrieval.HINT_BONUS)
-_RER = f"""{_CAND}, j as (select c.*, q.query, d.doc_id, d.text, d.noise_labels, d.quality_score, d.content_hints, concat_ws(' ', d.section_title, d.text) full_text, list_filter(regexp_extract_all(lower(q.query), '[a-z0-9]{{2,}}'), lambda x: not list_contains({S.QSTOP}, x)) w,
+_RULE = {
+    "content_hints": lambda v: f"list_has_any(coalesce(content_hints, {_NO}), {list(v)})", "title_words": lambda v: f"list_has_any(regexp_extract_all(lower(coalesce(section_title, '')), '[a-z]+'), {list(v)})",
+    "chunk_strategy": lambda v: f"coalesce(list_contains({list(v)}, chunk_strategy), false)", "first_pages": lambda v: "coalesce(page_start <= 2, false)",
+}
+_HEUR = " + ".join(f"(case when ({_INTENT}) = '{i}' and {_RULE[what](v)} then {w} else 0.0 end)" for i, what, v, w in retrieval.HIT_RULES)
+_RER = f"""{_CAND}, j as (select c.*, q.query, d.doc_id, d.text, d.noise_labels, d.quality_score, d.content_hints, d.section_title, d.chunk_strategy, d.page_start, lower(coalesce(q.query, '')) l, concat_ws(' ', d.section_title, d.text) full_text, list_filter(regexp_extract_all(lower(q.query), '[a-z0-9]{{2,}}'), lambda x: not list_contains({S.QSTOP}, x)) w,
   list_filter(regexp_extract_all(lower(q.query), '[a-z]{{2,}}'), lambda x: not list_contains({S.QSTOP}, x)) terms from cand c join q using (query_id) join chunks d on c.chunk_id = d.chunk_id),
-sg as (select query_id, chunk_id, doc_id, ({_QS})::double quality_signal, round(0.35 * n_shared + round({_GRAM(4, 1.8)} + {_GRAM(3, 1.35)} + {_GRAM(2, 0.95)}, 6) + {_BON}, 6)::double semantic_signal, ({_STRUCT})::double structural_signal, (-0.01 * (vector_rank - 1))::double rank_prior, 0.0::double metadata_signal from j),
+sg as (select query_id, chunk_id, doc_id, ({_QS})::double quality_signal, round(0.35 * n_shared + round({_GRAM(4, 1.8)} + {_GRAM(3, 1.35)} + {_GRAM(2, 0.95)}, 6) + {_BON}, 6)::double semantic_signal, ({_STRUCT})::double structural_signal, (-0.01 * (vector_rank - 1))::double rank_prior, ({_HEUR})::double metadata_signal from j),
 tot as (select *, round(quality_signal + semantic_signal + structural_signal + metadata_signal + rank_prior, 6) total from sg), rer as (select *, (row_number() over (partition by query_id order by total desc, chunk_id))::int as rank from tot)"""
 
 
