@@ -66,7 +66,9 @@ def b6(spark, sf):
     return B.layout_signals(_blocks(spark, sf))
 
 
-@query("b7_ocr_routing")
+@query("b7_ocr_routing", rf"""with {S.BLOCKS}, t as (select doc_id, page_num, length(trim(t)) chars, contains(t, '�') bad, len(regexp_extract_all(t, '[\x00-\x08\x0E-\x1F\x{{7F}}-\x{{9F}}]')) control, length(t) len, len(regexp_extract_all(t, '\S+')) tok, len(list_filter(string_split_regex(t, '\s+'), lambda x: regexp_matches(x, '{B.ODD_TOKEN.replace("'", "''")}'))) odd from (select *, coalesce(text, '') t from blocks)),
+  g as (select doc_id, page_num, sum(chars) chars, sum(control) control, sum(len) len, sum(tok) tok, sum(odd) odd, bool_or(bad) bad from t group by 1, 2)
+  select doc_id, page_num, chars < 40 needs_ocr, {S.labels([("short_text", "chars < 80"), ("bad_unicode", "bad"), ("unprintable", "control > 0.05 * len"), ("non_lexical", "odd >= 0.25 * greatest(tok, 1)")])} reasons from g""")
 def b7(spark, sf):
     return B.ocr_routing(_blocks(spark, sf))
 

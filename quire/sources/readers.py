@@ -20,11 +20,17 @@ def read_json_records(spark: SparkSession, path: str, schema: T.StructType, mult
 
 
 def read_corpus_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Corpus entries of a CSV with a header; rows without digest or with a page count that is no number are left out."""
-    raw = spark.read.option("header", True).csv(path)
+    """Corpus entries of a CSV with a header, by pages and digest; rows without digest or with a page count that is no number are left out.
+
+    A file that isn't UTF-8 is read as Latin-1.
+    """
+    read = lambda encoding: spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding).csv(path)
+    raw = read("UTF-8")
+    if raw.where(F.concat_ws(" ", *[F.col(f"`{c}`") for c in raw.columns]).contains("\ufffd")).limit(1).count():
+        raw = read("ISO-8859-1")
     cols = {c.split()[0]: c.split()[1] for c in CORPUS_SCHEMA.split(", ")}
     picked = [F.expr(f"try_cast(`{c}` as {t})").alias(c) if c in raw.columns else F.lit(None).cast(t).alias(c) for c, t in cols.items()]
-    return raw.select(*picked).where("digest is not null and pages is not null")
+    return raw.select(*picked).where("digest is not null and pages is not null").orderBy("pages", "digest")
 
 
 def read_binary(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -39,9 +45,9 @@ def verified(files: DataFrame, expected: DataFrame) -> DataFrame:
     return j.select("name", F.when(F.col("digest").isNull(), "missing").when(F.col("digest") == F.col("want"), "ok").otherwise("changed").alias("status"))
 
 
-def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation cases of a JSON list; missing lists are empty."""
+def read_cases(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Evaluation cases of a JSON list, or of JSON lines; missing lists are empty."""
     s = "case_id string, case_type string, query string, relevant_chunk_ids array<string>, relevant_doc_ids array<string>, expected_keywords array<string>, case_tags array<string>, notes string"
-    df = spark.read.schema(s).option("multiLine", True).json(path)
+    df = spark.read.schema(s).option("multiLine", multi_line).json(path)
     none = F.array().cast("array<string>")
     return df.select(*[F.coalesce(c, none).alias(c) if t == "array<string>" else F.col(c) for c, t in df.dtypes])
