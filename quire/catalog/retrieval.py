@@ -111,9 +111,21 @@ def _top(spark, sf):
 
 _SC = f"""{_RER}, dv as (select *, case when row_number() over (partition by query_id, doc_id order by rank) > 1 then 1 else 0 end late from rer), tp as (select query_id, chunk_id from (select query_id, chunk_id, row_number() over (partition by query_id order by late, rank) nr from dv) where nr <= 5),
 se as (select chunk_id, i - 1 sentence_no, s[i] sentence from (select chunk_id, s, unnest(range(1, len(s) + 1)) i from (select chunk_id, {_SENT} s from chunks where text is not null)) where length(s[i]) >= 30),
-ss as (select t.query_id, t.chunk_id, se.sentence_no, se.sentence, len(list_intersect(list_filter(regexp_extract_all(lower(q.query), '[a-z]{{2,}}'), lambda x: not list_contains({S.QSTOP}, x)), regexp_extract_all(lower(se.sentence), '[a-z]{{2,}}'))) n from tp t join se using (chunk_id) join q using (query_id)),
+ss as (select t.query_id, t.chunk_id, se.sentence_no, se.sentence, list_intersect(list_distinct(list_filter(regexp_extract_all(lower(q.query), '[a-z]{{2,}}'), lambda x: not list_contains({S.QSTOP}, x))), regexp_extract_all(lower(se.sentence), '[a-z]{{2,}}')) ts, len(ts) n from tp t join se using (chunk_id) join q using (query_id)),
 sc as (select *, (case when n = 0 then 0.0 else n - case when length(sentence) > 320 then 1.5 else 0.0 end end)::double score from ss)"""
-_EV = _SC + ", va as (select *, score - 2.0 * (row_number() over (partition by query_id, chunk_id order by score desc, sentence_no) - 1) as val from sc where score > 0), ev as (select query_id, (row_number() over (partition by query_id order by val desc, chunk_id, sentence_no))::int pick, chunk_id, sentence_no::int sentence_no, score from va)"
+
+
+def _greedy(most: int) -> str:
+    """The greedy choice unrolled: each step ranks what is left by what it adds to the picks before."""
+    out = "cd as (select query_id, chunk_id, sentence_no::int sentence_no, score, ts from sc where score > 0), s0 as (select distinct query_id, []::varchar[] cov, []::varchar[] used, []::varchar[] taken from cd)"
+    for k in range(1, most + 1):
+        out += f""", g{k} as (select c.*, s.cov, s.used, s.taken, row_number() over (partition by c.query_id order by round(c.score + 0.9 * len(list_filter(c.ts, lambda x: not list_contains(s.cov, x))) - case when list_contains(s.used, c.chunk_id) then 2.0 else 0.0 end, 6) desc, c.chunk_id, c.sentence_no) rn
+  from cd c join s{k - 1} s using (query_id) where not list_contains(s.taken, c.chunk_id || '#' || c.sentence_no)),
+  s{k} as (select query_id, list_distinct(list_concat(cov, ts)) cov, list_append(used, chunk_id) used, list_append(taken, chunk_id || '#' || sentence_no) taken from g{k} where rn = 1)"""
+    return out + ", ev as (" + " union all ".join(f"select query_id, {k}::int pick, chunk_id, sentence_no, score from g{k} where rn = 1" for k in range(1, most + 1)) + ")"
+
+
+_EV = _SC + ", " + _greedy(4)
 
 
 @query("a3_evidence", f"with {_EV} select * from ev where pick <= 4")

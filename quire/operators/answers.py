@@ -18,22 +18,34 @@ def sentence_rows(chunks: DataFrame, least: int = 30) -> DataFrame:
 
 
 def scored_sentences(queries: DataFrame, hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """query_id, chunk_id, sentence_no, sentence, score: words shared with the query, less 1.5 over 320 chars; none shared scores 0."""
+    """query_id, chunk_id, sentence_no, sentence, matched, score: words shared with the query, less 1.5 over 320 chars; none shared scores 0."""
     s = hits.select("query_id", "chunk_id").join(sentence_rows(chunks), "chunk_id").join(queries, "query_id")
-    shared = F.size(F.array_intersect(T.query_terms(F.col("query")), T.words(F.col("sentence"), "[a-z]{2,}")))
-    return s.select("query_id", "chunk_id", "sentence_no", "sentence", F.when(shared == 0, 0.0).otherwise(shared - F.when(F.length("sentence") > 320, 1.5).otherwise(0.0)).cast("double").alias("score"))
+    s = s.withColumn("matched", F.array_intersect(T.query_terms(F.col("query")), T.words(F.col("sentence"), "[a-z]{2,}")))
+    shared = F.size("matched")
+    return s.select("query_id", "chunk_id", "sentence_no", "sentence", "matched", F.when(shared == 0, 0.0).otherwise(shared - F.when(F.length("sentence") > 320, 1.5).otherwise(0.0)).cast("double").alias("score"))
 
 
-def selected_evidence(scored: DataFrame, most: int = 4) -> DataFrame:
-    """query_id, pick, chunk_id, sentence_no, score: greedy choice that pays for new chunks.
+def selected_evidence(scored: DataFrame, most: int = 4, new_word: float = 0.9, used_chunk: float = 2.0) -> DataFrame:
+    """query_id, pick, chunk_id, sentence_no, score: greedy choice that pays for query words not yet covered and charges for chunks already used.
 
-    The best sentence of each chunk comes first, then second-best ones less 2,
-    and so on: the fixed price of a used chunk makes the greedy order a sort.
+    Each pick takes the sentence of the highest score + ``new_word`` a new word
+    - ``used_chunk`` for a chunk that gave one before; of equals the first by
+    chunk and place. Sentences that share nothing are never picked. A query's
+    sentences are those of its few hits.
     """
-    in_chunk = F.row_number().over(Window.partitionBy("query_id", "chunk_id").orderBy(F.desc("score"), "sentence_no"))
-    s = scored.where("score > 0").withColumn("value", F.col("score") - 2.0 * (in_chunk - 1))
-    w = Window.partitionBy("query_id").orderBy(F.desc("value"), "chunk_id", "sentence_no")
-    return s.withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= most).select("query_id", "pick", "chunk_id", "sentence_no", "score")
+    c = scored.where("score > 0").groupBy("query_id").agg(F.collect_list(F.struct("chunk_id", F.col("sentence_no").cast("int").alias("sentence_no"), "score", "matched")).alias("c"))
+    start = F.expr("struct(cast(array() as array<struct<chunk_id:string,sentence_no:int,score:double>>) as picks, cast(array() as array<string>) as covered)")
+
+    def step(acc: Column, _: Column) -> Column:
+        left = F.filter("c", lambda x: ~F.exists(acc.picks, lambda p: (p.chunk_id == x.chunk_id) & (p.sentence_no == x.sentence_no)))
+        used = lambda x: F.exists(acc.picks, lambda p: p.chunk_id == x.chunk_id)
+        value = lambda x: F.round(x.score + new_word * F.size(F.array_except(x.matched, acc.covered)) - F.when(used(x), used_chunk).otherwise(0.0), 6)
+        best = F.array_min(F.transform(left, lambda x: F.struct(F.negative(value(x)).alias("m"), x.chunk_id.alias("chunk_id"), x.sentence_no.alias("sentence_no"), x.score.alias("score"), x.matched.alias("matched"))))
+        taken = F.struct(F.concat(acc.picks, F.array(F.struct(best.chunk_id.alias("chunk_id"), best.sentence_no.alias("sentence_no"), best.score.alias("score")))).alias("picks"), F.array_union(acc.covered, best.matched).alias("covered"))
+        return F.when(F.size(left) > 0, taken).otherwise(acc)
+
+    picks = F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda acc: acc.picks)
+    return c.select("query_id", F.posexplode(picks).alias("k", "p")).select("query_id", (F.col("k") + 1).alias("pick"), "p.chunk_id", "p.sentence_no", "p.score")
 
 
 def abstentions(queries: DataFrame, evidence: DataFrame) -> DataFrame:
