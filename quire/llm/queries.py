@@ -1,5 +1,6 @@
 """Queries of the training-data operators, and the SQL where SQL can say the same."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.llm import encoding, leakage, mixing, quality, scannoise, splitting, truncation
@@ -107,11 +108,13 @@ def p7_short(spark, sf):
 
 
 def p7_char_shares(spark, sf):
-    """The mix sized in chars, so that SQL can check it: what each source has, its actual share, and whether its texts repeat too often."""
+    """The mix sized in chars, so that SQL can check it: what each source has, the share it should get, whether it gets that (but for whole chars), and whether its texts repeat too often."""
     docs, targets = table(spark, sf, "documents"), table(spark, sf, "mix_targets")
     have = mixing.distinct_texts(docs, targets, None).groupBy("source").agg(F.sum("n_tokens").alias("available"))
     s = mixing.mix_shares(docs, targets, path=None).join(have, "source")
-    return s.select("source", "available", F.round("actual_share", 4).alias("actual_share"), (F.col("most_uses") > F.col("max_repeats")).alias("too_often"))
+    wanted = F.col("target_share") / F.sum("target_share").over(Window.partitionBy())  # a row per listed source
+    s = s.withColumn("wanted_share", F.round(wanted, 6))
+    return s.select("source", "available", "wanted_share", (F.abs(F.col("actual_share") - F.col("wanted_share")) <= 1e-4).alias("reached"), (F.col("most_uses") > F.col("max_repeats")).alias("too_often"))
 
 
 def p8_found(spark, sf):
@@ -151,7 +154,7 @@ ORACLES = {
     "p7_char_shares": """with d as (select lower(trim(source)) source, text, doc_id from documents where text is not null and length(text) > 0 and lower(trim(source)) in (select lower(trim(source)) from mix_targets where target_share > 0)),
       o as (select text, arg_min(source, doc_id) source from d group by 1), g as (select source, sum(length(text))::bigint available from o group by 1),
       s as (select lower(trim(source)) source, sum(target_share) share from mix_targets group by 1)
-      select source, available, round(share / (select sum(share) from s join g using (source)), 4)::double actual_share, false too_often from g join s using (source)""",
+      select source, available, round(share / (select sum(share) from s join g using (source)), 6)::double wanted_share, true reached, false too_often from g join s using (source)""",
     "p8_histogram": """select source, measure, length, count(*) as n from (
       select lower(trim(source)) as source, 'chars' as measure, length(text)::int as length from documents where text is not null and source is not null
       union all select lower(trim(source)), 'bytes', strlen(text)::int from documents where text is not null and source is not null) group by 1, 2, 3""",
